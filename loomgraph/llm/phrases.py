@@ -8,19 +8,19 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from collections.abc import Iterator
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from loomgraph.llm import passages
 from loomgraph.llm.text import words
 
-import numpy as np
-
 #: Words of a passage, and of its anchor.
 WINDOW = 20
 GRAM = 6
+#: Bytes of text for each shard; an automaton takes some hundred times the passages it holds.
+SHARD_BYTES = 2 << 20
 
 #: Letters that words are turned into: all code points but surrogates and zero.
 _LETTERS = 0x110000 - 0x800 - 1
@@ -79,51 +79,38 @@ def occurrences(spelled: list[str], times: list[int], width: int, window: int) -
     return found, confirmed
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    texts = [c.split(b" ") for c in table["content"].to_pylist()]
+def _judge(contents: list[bytes], numbers: list[int], places: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
+    texts = [c.split(b" ") for c in contents]
     alphabet = Alphabet(texts)
     spelled = [alphabet.spell(t) for t in texts]
     del texts
-    times = table["times"].to_pylist()
-    found, confirmed = occurrences(spelled, times, alphabet.width, WINDOW)
-    carriers = [(f["no_id"], f["__id"] or 0, f["__hash"], f["start"]) for f in table["first"].to_pylist()]
+    # rows equal in id and text bring one place twice
+    places = [np.unique(p) for p in places]
+    found, confirmed = occurrences(spelled, [len(p) for p in places], alphabet.width, WINDOW)
     best: list[tuple | None] = [None] * confirmed
-    for (no_id, id_, hash_, start), hits in zip(carriers, found):
+    owner = [-1] * confirmed
+    for i, (where, hits) in enumerate(zip(places, found)):
+        no_id, id_, hash_, start = where[0].tolist()
         for at, passage in hits:
             own = (no_id, id_, hash_, start + at)
             if best[passage] is None or own < best[passage]:
-                best[passage] = own
-    inside = []
-    for (no_id, id_, hash_, start), hits, n in zip(carriers, found, table["n"].to_pylist()):
-        later = np.zeros(n, bool)
-        later[[at for at, passage in hits if best[passage] != (no_id, id_, hash_, start + at)]] = True
-        inside.append(passages.intervals(later))
-    return pa.table({"piece": table["piece"], "times": table["times"], "first": table["first"], "inside": pa.array(inside, pa.list_(pa.int64()))})
-
-
-JUDGED = "piece binary, times bigint, first struct<no_id:boolean,__id:bigint,__hash:bigint,start:bigint>, inside array<bigint>"
-
-
-def removed_spans(docs: DataFrame) -> DataFrame:
-    """(__id, __hash, spans): flat spans of the starts of passages that start earlier, too, for documents as keyed()
-    returns them."""
-    found = passages.pieces(docs, passages.Windows(True, WINDOW, GRAM), "phrases")
-    verdicts = passages.judged(found, _judge, JUDGED).where((F.col("times") > 1) | (F.size("inside") > 0))
-    # windows of very common anchors came one by one: all but the first of equal ones go
-    firsts = F.min(F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__hash", "start")).alias("first")
-    windows = (
-        found.where("content is null").groupBy("piece").agg(F.count(F.lit(1)).alias("times"), firsts).where("times > 1")
-        .withColumn("inside", F.array().cast("array<bigint>"))
-    )
-    known = verdicts.unionByName(windows).select(F.col("piece").alias("p"), "first", F.col("inside").alias("own"))
-    is_first = F.expr("__id <=> first.__id and __hash = first.__hash and start = first.start")
-    everything = F.array(F.lit(0).cast("long"), F.col("n").cast("long"))
-    rows = (
-        found.select("__id", "__hash", "start", "n", "piece")
-        .join(known, F.col("piece") == F.col("p"))
-        .select("__id", "__hash", "start", F.when(is_first, F.col("own")).otherwise(everything).alias("inside"))
-    )
-    return passages.spans_by_document(rows)
+                best[passage], owner[passage] = own, i
+    for i, (where, hits, n) in enumerate(zip(places, found, numbers)):
+        if not hits:
+            continue
+        gone = np.zeros(n, bool)
+        gone[[at for at, _ in hits]] = True
+        everywhere = passages.intervals(gone)
+        # the least place of a piece keeps the passages that occur there first
+        gone[[at for at, passage in hits if owner[passage] == i]] = False
+        yield where, [passages.intervals(gone), *[everywhere] * (len(where) - 1)]
+
+
+def _judge_windows(contents: list[bytes], numbers: list[int], places: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
+    """Of windows that came one by one, all but the first of equal ones go."""
+    for where in map(np.unique, places):
+        if len(where) > 1:
+            yield where[1:], [[0, 1]] * (len(where) - 1)
 
 
 def _finish(text: bytes, spans: list[int]) -> tuple[int, int, str]:
@@ -144,6 +131,6 @@ def phrase_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hash, and rows equal in id and text are one document, whose verdict they share. An empty table gives no rows.
     Other columns are ignored.
     """
-    rows = passages.keyed(docs, id_col, text_col)
-    out = passages.finished(rows, removed_spans(rows), "__id bigint, n_words bigint, n_removed bigint, kept_sha256 string", _finish)
-    return out.withColumnRenamed("__id", id_col)
+    kind = passages.Windows(True, WINDOW, GRAM, SHARD_BYTES)
+    schema = "n_words bigint, n_removed bigint, kept_sha256 string"
+    return passages.removed_from(docs, id_col, text_col, kind, (_judge, _judge_windows), schema, _finish)

@@ -9,11 +9,10 @@ elsewhere, too.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from loomgraph.llm import passages
 from loomgraph.llm.text import prefix_sums, span_hash
@@ -21,6 +20,8 @@ from loomgraph.llm.text import prefix_sums, span_hash
 #: Length of the strings that may not recur, in bytes, and of their anchors.
 WINDOW = 200
 GRAM = 48
+#: Bytes of text for each shard.
+SHARD_BYTES = 4 << 20
 
 
 def _smaller(t: np.ndarray) -> np.ndarray:
@@ -181,9 +182,21 @@ def recurring(contents: list[bytes], times: np.ndarray, window: int) -> list[np.
     return [again[e - s : e - s + max(0, s - window + 1)] for s, e in zip(sizes.tolist(), ends.tolist())]
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    flags = recurring(table["content"].to_pylist(), table["times"].to_numpy(), WINDOW)
-    return pa.table({"piece": table["piece"], "inside": pa.array([passages.intervals(f) for f in flags], pa.list_(pa.int64()))})
+def _judge(contents: list[bytes], numbers: list[int], places: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
+    if not contents:
+        return
+    flags = recurring(contents, np.array(list(map(len, places))), WINDOW)
+    for where, flag in zip(places, flags):
+        gone = passages.intervals(flag)
+        if gone:
+            yield where, [gone] * len(where)
+
+
+def _judge_windows(contents: list[bytes], numbers: list[int], places: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
+    """Windows that came one by one recur if their content does."""
+    for where in places:
+        if len(where) > 1:
+            yield where, [[0, 1]] * len(where)
 
 
 def _finish(text: bytes, spans: list[int]) -> tuple[int, int, int, str]:
@@ -192,18 +205,6 @@ def _finish(text: bytes, spans: list[int]) -> tuple[int, int, int, str]:
     return len(text), int(gone.sum()), len(passages.intervals(gone)) // 2, hashlib.sha256(kept).hexdigest()
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
-    """(__id, __hash, spans): flat spans of the starts of windows that recur, for documents as keyed() returns them."""
-    found = passages.pieces(docs, passages.Windows(False, WINDOW, GRAM), "substrings")
-    verdicts = passages.judged(found, _judge, "piece binary, inside array<bigint>").where(F.size("inside") > 0)
-    by_piece = found.select("__id", "__hash", "start", "piece").join(verdicts.withColumnRenamed("piece", "p"), F.col("piece") == F.col("p"))
-    single = found.where("content is null").groupBy("piece").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    one = F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))
-    by_window = found.where("content is null").join(single.select(F.col("piece").alias("p")), F.col("piece") == F.col("p"))
-    rows = by_piece.select("__id", "__hash", "start", "inside").unionByName(by_window.select("__id", "__hash", "start", one.alias("inside")))
-    return passages.spans_by_document(rows)
-
-
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove every byte covered by a WINDOW-byte string that also starts elsewhere.
 
@@ -213,6 +214,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole, if they are long enough, whatever their ids; ids may be null. An empty table gives no rows. Other columns
     are ignored.
     """
-    rows = passages.keyed(docs, id_col, text_col)
-    out = passages.finished(rows, removed_spans(rows), "__id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", _finish)
-    return out.withColumnRenamed("__id", id_col)
+    kind = passages.Windows(False, WINDOW, GRAM, SHARD_BYTES)
+    schema = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    return passages.removed_from(docs, id_col, text_col, kind, (_judge, _judge_windows), schema, _finish)
