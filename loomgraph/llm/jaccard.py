@@ -7,7 +7,9 @@ one, and frequent ones, which alone would bring too many sets together, only in
 parts by hash, and since k shared tokens put two into one part, only pairs within a part are needed: their number
 stays in proportion to the set.
 
-All candidates are verified on the whole sets. To find components no more pairs are compared than it takes: first
+Candidates pass an exact bound first: sets are folded into bitmaps of about as many bits as they have tokens, a bit for
+the parity of the tokens that fall on it. Two bitmaps differ in no more bits than the sets differ in tokens. What is
+left is verified on the whole sets. To find components no more pairs are compared than it takes: first
 each set with its neighbour under every key, in an order that differs by key; then, under keys whose sets still lie
 in different components, the pairs across components.
 """
@@ -23,8 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import connected_components
+from loomgraph.llm.passages import packed, unpacked
 from loomgraph.llm.text import chunks, lower, mix, word_hashes, words
-from loomgraph.runtime import workers_can_import, written
+from loomgraph.runtime import checkpointed, workers_can_import, written
 
 #: Words of a shingle, and the least similarity of a link as a fraction.
 SHINGLE = 5
@@ -38,6 +41,8 @@ REPORTED = 3
 BROADCAST_TOKENS = 1_000_000
 #: Tokens of a set for each part of the frequent tokens.
 TOKENS_PER_PART = 32
+#: Sets to be verified that are made known to every worker at most; beyond it texts are shuffled to them, compressed.
+BROADCAST_SETS = 500_000
 #: Sets that a task remembers so as to emit the keys of equal ones once.
 REMEMBERED_SETS = 1_000_000
 
@@ -70,19 +75,27 @@ def _identity(tokens: np.ndarray) -> tuple[int, int]:
     return int(pair[0]), int(pair[1])
 
 
+def folded(tokens: np.ndarray) -> np.ndarray:
+    """The bitmap of a set, as longs: of the least power of two of bits, at 64 least, that is no less than its size."""
+    bits = max(64, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else 64
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _scan(docs: DataFrame) -> DataFrame:
-    """A row for each document (__id, __hash, node, check, n), and rows (token, seen) for tokens that a batch has
+    """A row for each document (__id, __hash, node, check, n, bits), and rows (token, seen) for tokens that a batch has
     REPORTED times or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, check, n, tokens = [], [], [], []
+            node, check, n, bits, tokens = [], [], [], [], []
             for _, _, data, offs in chunks(batch.column(2)):
                 for found in shingle_sets(data, offs):
                     a, b = _identity(found) if len(found) else (None, None)
                     node.append(a)
                     check.append(b)
                     n.append(len(found))
+                    bits.append(folded(found) if len(found) else None)
                     tokens.append(found)
             rows = len(n)
             token, seen = np.unique(np.concatenate(tokens), return_counts=True) if tokens else (np.zeros(0, np.uint64),) * 2
@@ -97,13 +110,14 @@ def _scan(docs: DataFrame) -> DataFrame:
                     pa.concat_arrays([pa.array(node, pa.int64()), nothing]),
                     pa.concat_arrays([pa.array(check, pa.int64()), nothing]),
                     pa.concat_arrays([pa.array(n, pa.int64()), nothing]),
+                    pa.concat_arrays([pa.array(bits, pa.list_(pa.int64())), pa.nulls(more, pa.list_(pa.int64()))]),
                     pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(token)]),
                     pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(seen.astype(np.int64))]),
                 ],
-                ["__id", "__hash", "node", "check", "n", "token", "seen"],
+                ["__id", "__hash", "node", "check", "n", "bits", "token", "seen"],
             )
 
-    return docs.mapInArrow(run, "__id bigint, __hash bigint, node bigint, check bigint, n bigint, token bigint, seen bigint")
+    return docs.mapInArrow(run, "__id bigint, __hash bigint, node bigint, check bigint, n bigint, bits array<bigint>, token bigint, seen bigint")
 
 
 def frequent_tokens(scanned: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +209,7 @@ def _index(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                     if len(seen) < REMEMBERED_SETS:
                         seen.add(node)
                     nodes.append(node)
-                    sizes.append(len(tokens))
+                    sizes.append(size_class(len(tokens)))
                     found.append(keys(tokens, *shared.value))
                 times = [len(k) for k in found]
                 if found:
@@ -203,17 +217,32 @@ def _index(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                         [
                             pa.array(np.concatenate(found).view(np.int64)),
                             pa.array(np.repeat(np.array(nodes, np.int64), times)),
-                            pa.array(np.repeat(np.array(sizes, np.int32), times)),
+                            pa.array(np.repeat(np.array(sizes, np.int8), times)),
                         ],
-                        ["key", "node", "n"],
+                        ["key", "node", "c"],
                     )
 
-    return docs.select("__text").mapInArrow(run, "key bigint, node bigint, n int")
+    return docs.select("__text").mapInArrow(run, "key bigint, node bigint, c tinyint")
+
 
+def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps allow to be similar enough."""
+    left = nodes.select(F.col("node").alias("x"), F.col("n").alias("m"), F.col("bits").alias("s"))
+    right = nodes.select(F.col("node").alias("y"), "n", F.col("bits").alias("t"))
+    joined = pairs.join(left, F.col("a") == F.col("x")).where("m > 0").join(right, F.col("b") == F.col("y"))
+    sizes = F.col("m") + F.col("n")
+    may_differ = sizes - 2 * F.ceil(sizes * NUMERATOR / F.lit(NUMERATOR + DENOMINATOR))
 
-def _may_link(a: Column, b: Column) -> Column:
-    """Whether sets of these sizes can be similar enough."""
-    return F.least(a, b).cast("long") * DENOMINATOR >= F.greatest(a, b).cast("long") * NUMERATOR
+    def halved(bits: Column) -> Column:
+        half = (F.size(bits) / 2).cast("int")
+        return F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+
+    # sets that can be linked have bitmaps of one size, or one has twice the other's
+    s = F.when(F.size("s") > F.size("t"), halved(F.col("s"))).otherwise(F.col("s"))
+    t = F.when(F.size("t") > F.size("s"), halved(F.col("t"))).otherwise(F.col("t"))
+    unequal = F.aggregate(F.zip_with(s, t, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda total, x: total + x)
+    fits = F.least("m", "n") * DENOMINATOR >= F.greatest("m", "n") * NUMERATOR
+    return joined.where(fits).where(unequal <= may_differ).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -227,15 +256,30 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, tokens) of the wanted nodes, given with a document (__id, __hash) that has the set."""
-    joined = docs.alias("d").join(wanted.alias("w"), F.expr("d.__hash = w.__hash and d.__id <=> w.__id")).select("w.node", "d.__text").dropDuplicates(["node"])
+    wanted = checkpointed(wanted)
+    if wanted.count() <= BROADCAST_SETS:
+        texts, wanted, unpack = docs, F.broadcast(wanted), False
+    else:
+        texts, unpack = packed(docs).withColumnRenamed("__packed", "__text"), True
+    joined = texts.alias("d").join(wanted.alias("w"), F.expr("d.__hash = w.__hash and d.__id <=> w.__id")).select("w.node", "d.__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offs in chunks(batch.column(1)):
+            column = pa.array(unpacked(batch.column(1)), pa.binary()) if unpack else batch.column(1)
+            for first, end, data, offs in chunks(column):
                 found = [s.view(np.int64) for s in shingle_sets(data, offs)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(found, pa.list_(pa.int64()))], ["node", "tokens"])
 
-    return joined.mapInArrow(run, "node bigint, tokens array<bigint>")
+    # a row repeated in the corpus brings its set again
+    return joined.mapInArrow(run, "node bigint, tokens array<bigint>").dropDuplicates(["node"])
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The links among candidate pairs, as a written table."""
+    left = written(close(pairs, nodes), f"{name}-close")
+    ends = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+    firsts = nodes.select("node", F.col("first.__id").alias("__id"), F.col("first.__hash").alias("__hash"))
+    return written(verified(left, _sets(docs, firsts.join(ends, "node", "left_semi"))), name)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,7 +288,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Words are runs of bytes other than 0x20 and 0x09 to 0x0D, with A-Z in lower case; a document's set holds its
     distinct shingles of SHINGLE words, the whole sequence if it has fewer, nothing without words. Documents are
     linked if their sets' Jaccard similarity is NUMERATOR / DENOMINATOR or more. Returns a row for each row: the id,
-    n_shingles, component_id (the least id that can be reached by links, its own included). Documents without words
+    n_shingles, component_id (the least id that can be reached by links, its own included), text_hash (of the whole text). Documents without words
     or text are linked with nothing. A null id never is the least of a component that has another; equal texts are
     always linked. An empty table gives no rows. Other columns are ignored.
 
@@ -254,7 +298,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__hash"), text.alias("__text"))
     scanned = written(_scan(rows), "jaccard-documents")
-    documents = scanned.where("n is not null").select("__id", "__hash", "node", "check", "n")
+    documents = scanned.where("n is not null").select("__id", "__hash", "node", "check", "n", "bits")
     nodes = written(
         documents.where("n > 0")
         .groupBy("node")
@@ -262,7 +306,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             F.min(F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__hash")).alias("first"),
             F.min("check").alias("least_check"),
             F.max("check").alias("most_check"),
-            F.count(F.lit(1)).alias("copies"),
+            F.first("n").alias("n"),
+            F.first("bits").alias("bits"),
         ),
         "jaccard-nodes",
     )
@@ -271,36 +316,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("two different sets have equal 64-bit identities: take another digest size in _identity")
     known = frequent_tokens(scanned, row[0])
 
-    by_key = Window.partitionBy("key").orderBy(F.floor(F.log("n") * 3), F.xxhash64("node", "key"), "node")
+    by_key = Window.partitionBy("key").orderBy("c", F.xxhash64("node", "key"), "node")
     index = _index(rows.select("__text"), known)
-    ordered = index.withColumns({"before": F.lag("node").over(by_key), "before_n": F.lag("n").over(by_key), "after": F.lead("node").over(by_key)})
+    ordered = index.withColumns({"before": F.lag("node").over(by_key), "after": F.lead("node").over(by_key)})
     shared = written(
-        ordered.where("(before is not null and before <> node) or (after is not null and after <> node)").select("key", "node", "n", "before", "before_n"),
-        "jaccard-keys",
+        ordered.where("(before is not null and before <> node) or (after is not null and after <> node)").select("key", "node", "c", "before"), "jaccard-keys"
     )
-    firsts = nodes.select("node", F.col("first.__id").alias("__id"), F.col("first.__hash").alias("__hash"))
-    wanted = firsts.join(shared.select("node").distinct(), "node", "left_semi")
-    sets = written(_sets(rows, wanted), "jaccard-sets")
-
-    neighbours = shared.where("before <> node").where(_may_link(F.col("n"), F.col("before_n")))
-    tested = neighbours.select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct()
-    links = written(verified(tested, sets), "jaccard-links")
+    tested = written(
+        shared.where("before <> node").select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct(), "jaccard-pairs"
+    )
+    links = _links(tested, nodes, rows, "jaccard-links")
     found = connected_components(links)
 
     # under keys that still join different components, all pairs across them
-    labelled = shared.select("key", "node", "n").join(found.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").select(
-        "key", "node", "n", F.coalesce("component", "node").alias("component")
+    labelled = shared.select("key", "node", "c").join(found.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").select(
+        "key", "node", "c", F.coalesce("component", "node").alias("component")
     )
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = written(labelled.join(open_keys, "key", "left_semi"), "jaccard-open")
+    # two sets of one key were neighbours under it and have been compared
+    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("sets")).where("lo <> hi and sets > 2")
+    rest = written(labelled.join(open_keys.select("key"), "key", "left_semi"), "jaccard-open")
     across = (
         rest.alias("x")
-        .join(rest.alias("y"), F.expr("x.key = y.key and x.node < y.node and x.component <> y.component"))
-        .where(_may_link(F.col("x.n"), F.col("y.n")))
+        .join(rest.alias("y"), F.expr("x.key = y.key and x.node < y.node and x.component <> y.component and abs(x.c - y.c) <= 1"))
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()
     )
-    more = written(verified(across.join(tested, ["a", "b"], "left_anti"), sets), "jaccard-more-links")
+    more = _links(across.join(tested, ["a", "b"], "left_anti"), nodes, rows, "jaccard-more-links")
     found = connected_components(links.unionByName(more)) if not more.isEmpty() else found
 
     placed = nodes.join(found.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").select(
@@ -309,7 +350,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     verdict = placed.join(smallest, "component").select(F.col("node").alias("v"), "component_id")
     return documents.join(verdict, F.col("node") == F.col("v"), "left").select(
-        F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "__id").alias("component_id")
+        F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "__id").alias("component_id"), F.col("__hash").alias("text_hash")
     )
 
 
