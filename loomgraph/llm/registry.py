@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, exact, jaccard, mixture, phrases, quality, sharding, suffixes, warc
+from loomgraph.llm import bm25, bpe, exact, jaccard, mixture, phrases, quality, sharding, suffixes, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(_documents(spark, sf_dir))
 
 
+def op2_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return bm25.search(docs, docs.where("doc_id % 100 = 0"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.substring_dedup(_documents(spark, sf_dir))
 
@@ -45,7 +50,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(_documents(spark, sf_dir))
+    return jaccard.jaccard_components(_documents(spark, sf_dir)).drop("text_hash")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +61,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixture": op1_mixture,
+        "op2_bm25": op2_bm25,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_sharding": op4_sharding,
         "op5_phrase_dedup": op5_phrase_dedup,
@@ -68,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixture": mixture.ORACLE, "op6_exact_dedup": exact.ORACLE, "op8_warc": warc.ORACLE, "op9_jaccard": jaccard.ORACLE}
+    return {"op1_mixture": mixture.ORACLE, "op2_bm25": bm25.ORACLE, "op6_exact_dedup": exact.ORACLE, "op8_warc": warc.ORACLE, "op9_jaccard": jaccard.ORACLE}
