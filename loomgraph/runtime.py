@@ -64,6 +64,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_tables() -> list[str]:
+    """Paths of the scratch tables that this process has made and not dropped, oldest first."""
+    return [path for _, path in _made]
+
+
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for path in paths:
+        _drop(spark, path)
+    _made[:] = [(s, p) for s, p in _made if p not in set(paths)]
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
