@@ -7,11 +7,12 @@ timestamp, page), so that the same range of every run meets in one task, and a l
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,12 +161,9 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """The captures of every archive under ``path``, each archive's in order: one run for each archive."""
     workers_can_import(spark)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        import gzip
-        import hashlib
-
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in frames:
+            for name, content in zip(files["path"], files["content"]):
                 data = gzip.decompress(content)
                 entries = []
                 for h, start, stop in parse(data):
@@ -181,7 +179,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                 yield frame
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInPandas(lambda frames: run(frames), ENTRY)
+    return files.mapInPandas(run, ENTRY)
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
@@ -201,7 +199,11 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         for rows in pieces.values():  # a piece arrives in its run's order, unless a fetch was retried out of order
             if any(key(a) > key(b) for a, b in zip(rows, rows[1:])):
                 rows.sort(key=key)
-        tree = LoserTree([((key(r), i, name) for i, r in enumerate(rows)) for name, rows in sorted(pieces.items())])
+
+        def entries(name: str) -> Iterator[tuple]:
+            return ((key(row), i, name) for i, row in enumerate(pieces[name]))
+
+        tree = LoserTree([entries(name) for name in sorted(pieces)])
         merged, nth, last = [], 0, None
         for _, i, name in tree:
             row = pieces[name][i]
