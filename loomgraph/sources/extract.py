@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from loomgraph.runtime import workers_can_import
 from loomgraph.sources.languages import Language, Registry
 
-#: Words that look like calls but aren't, in any of the languages.
+#: Words that look like calls but aren't, in most of the languages; each language may have more.
 NOT_CALLS = frozenset(
-    "if for while switch catch return function def fn func fun class sizeof typeof new delete throw else elif match when unless until do and or not in is with "
-    "foreach using lock synchronized super this case select go defer await yield import require include print_r assert static_assert alignof decltype".split()
-) - {"print_r", "assert", "super"}
+    "if for while switch catch return function def fn func fun class sizeof typeof new delete throw else elif unless until do and or not in is with foreach using "
+    "this case yield".split()
+)
 
 
 @dataclass
@@ -262,7 +262,7 @@ def read_by_patterns(text: str, language: Language) -> Found:
         for m in re.finditer(pattern, code, re.M):
             groups = m.groupdict()
             which = "name" if groups.get("name") else "name2"
-            if m.start(which) in taken or groups[which] in NOT_CALLS:
+            if m.start(which) in taken or groups[which] in NOT_CALLS | language.words:
                 continue
             taken.add(m.start(which))
             start, end = extent(m)
@@ -281,7 +281,7 @@ def read_by_patterns(text: str, language: Language) -> Found:
         calls = re.finditer(r"(?:(?P<receiver>[A-Za-z_$][\w$]*(?:(?:\.|::|->|\?\.)[A-Za-z_$][\w$]*)*)\s*(?:\.|::|->|\?\.|:)\s*)?(?P<callee>[A-Za-z_$][\w$]*[?!]?)\s*\(", code)
     for m in calls:
         callee, at = m["callee"], m.start("callee")
-        if callee in NOT_CALLS or at in taken or inside_import.innermost(at):
+        if callee in NOT_CALLS or callee in language.words or at in taken or inside_import.innermost(at):
             continue
         receiver = (m.groupdict().get("receiver") or "").replace("this", "self") if language.receivers else ""
         if not receiver and not language.plain:

@@ -57,9 +57,9 @@ BUILT_IN: tuple[Language, ...] = (
              classes=(_JS_CLASS, rf"\binterface\s+(?P<name>{_ID})(?:\s+extends\s+(?P<bases>[^{{]+))?", rf"\btype\s+(?P<name>{_ID})(?:<[^=]*>)?\s*="), imports=_JS_IMPORTS[:1]),
     Language("rust", ("rs",), "::", functions=(r"\bfn\s+(?P<name>\w+)",),
              classes=(r"\b(?:struct|enum|trait)\s+(?P<name>\w+)(?:<[^>{]*>)?(?:\s*:\s*(?P<bases>[^{;]+))?", r"\bimpl(?:<[^>]*>)?\s+(?:(?P<bases>[\w:]+)(?:<[^>]*>)?\s+for\s+)?(?P<name>\w+)"),
-             imports=(r"\buse\s+(?P<module>[\w:]+(?:::\*)?)\s*;",)),
+             imports=(r"\buse\s+(?P<module>[\w:]+(?:::\*)?)\s*;",), words=frozenset({"match", "loop"})),
     Language("go", ("go",), "/", functions=(r"^func\s+(?:\([^)]*\)\s*)?(?P<name>\w+)",), classes=(r"^\s*(?:type\s+)?(?P<name>[A-Za-z_]\w*)\s+(?:struct|interface)\b",),
-             imports=(r"^\s*(?:import\s+)?(?:[\w.]+\s+)?(?P<module>\"[\w./\-]+\")\s*$",)),
+             imports=(r"^\s*(?:import\s+)?(?:[\w.]+\s+)?(?P<module>\"[\w./\-]+\")\s*$",), words=frozenset({"go", "defer", "select"})),
     Language("java", ("java",), functions=(rf"^[ \t]*{_MODIFIERS}(?:<[^>]+>\s*)?(?!return\b|new\b|else\b|throw\b)(?:[\w<>\[\],.?]+\s+)?(?P<name>(?!if\b|for\b|while\b|switch\b|catch\b|synchronized\b)\w+)\s*\([^;{{}}()]*\)\s*(?:throws\s+[\w., ]+)?\s*[{{;]",),
              classes=(r"\b(?:class|interface|enum)\s+(?P<name>\w+)(?:<[^>{]*>)?(?:\s+(?:extends|implements)\s+(?P<bases>[^{]+))?",), imports=(r"^\s*import\s+(?:static\s+)?(?P<module>[\w.]+)",), plain=False),
     Language("c", ("c", "h"), functions=(_C_FUNCTION,), classes=(r"\b(?:struct|enum)\s+(?P<name>\w+)\s*\{", r"\btypedef\b[^;{}]*?(?P<name>\w+)\s*;"),
@@ -82,7 +82,7 @@ BUILT_IN: tuple[Language, ...] = (
     Language("haskell", ("hs",), scope="indent", functions=(r"^(?P<name>(?!module\b|import\b|data\b|type\b|newtype\b|class\b|instance\b|where\b|infix)[a-z_][\w']*)\b[^\n:]*=",),
              classes=(r"^(?:data|newtype|type|class|instance)\s+(?:[^\n=]*=>\s*)?(?P<name>[A-Z]\w*)",), imports=(r"^import\s+(?:qualified\s+)?(?P<module>[\w.]+)",), comments=("--",), block=("{-", "-}"), receivers=False),
     Language("elixir", ("ex", "exs"), scope="end", functions=(r"^\s*defp?\s+(?P<name>[\w?!]+)",), classes=(r"^\s*defmodule\s+(?P<name>[\w.]+)",), imports=(r"^\s*(?:alias|import|require|use)\s+(?P<module>[\w.]+)",), comments=("#",), block=None),
-    Language("bash", ("sh", "bash"), functions=(r"^[ \t]*(?:function\s+(?P<name>[\w-]+)|(?P<name2>[\w-]+)\s*\(\))\s*(?:\(\))?\s*\{",), imports=(r"^\s*(?:source|\.)\s+(?P<module>\S+)",), comments=("#",), block=None, receivers=False, bare=True),
+    Language("bash", ("sh", "bash"), functions=(r"^[ \t]*(?:function\s+(?P<name>[\w-]+)|(?P<name2>[\w-]+)\s*\(\))\s*(?:\(\))?\s*\{",), imports=(r"^\s*(?:source|\.)\s+(?P<module>\S+)",), comments=("#",), block=None, receivers=False, bare=True, words=frozenset({"then", "fi", "done", "esac", "local", "export", "set", "source"})),
 )
 
 
