@@ -35,8 +35,9 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: A token counts as frequent if at least one in so many documents has it, as far as tasks have seen it in numbers.
 FREQUENT_ONE_IN = 5_000
 FREQUENT_LEAST = 16
-#: Occurrences in one batch of documents from which on a token is reported at all.
+#: Occurrences in COUNTED_TOKENS successive tokens of a task from which on a token is reported at all.
 REPORTED = 3
+COUNTED_TOKENS = 3_000_000
 #: Frequent tokens that are made known to every worker at most; beyond it the mark is raised, which costs time only.
 BROADCAST_TOKENS = 1_000_000
 #: Tokens of a set for each part of the frequent tokens.
@@ -86,9 +87,20 @@ def _scan(docs: DataFrame) -> DataFrame:
     """A row for each document (__id, __hash, node, check, n, bits), and rows (token, seen) for tokens that a batch has
     REPORTED times or more."""
 
+    names = ["__id", "__hash", "node", "check", "n", "bits", "token", "seen"]
+    kinds = [*[pa.int64()] * 5, pa.list_(pa.int64()), pa.int64(), pa.int64()]
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        token, seen = np.unique(np.concatenate(held), return_counts=True)
+        often = seen >= REPORTED
+        token, seen = pa.array(token[often].view(np.int64)), pa.array(seen[often].astype(np.int64))
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(token), k) for k in kinds[:6]), token, seen], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        total = 0
         for batch in batches:
-            node, check, n, bits, tokens = [], [], [], [], []
+            node, check, n, bits = [], [], [], []
             for _, _, data, offs in chunks(batch.column(2)):
                 for found in shingle_sets(data, offs):
                     a, b = _identity(found) if len(found) else (None, None)
@@ -96,26 +108,16 @@ def _scan(docs: DataFrame) -> DataFrame:
                     check.append(b)
                     n.append(len(found))
                     bits.append(folded(found) if len(found) else None)
-                    tokens.append(found)
-            rows = len(n)
-            token, seen = np.unique(np.concatenate(tokens), return_counts=True) if tokens else (np.zeros(0, np.uint64),) * 2
-            often = seen >= REPORTED
-            token, seen = token[often].view(np.int64), seen[often]
-            more = len(token)
-            nothing = pa.nulls(more, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([batch.column(0), nothing]),
-                    pa.concat_arrays([batch.column(1), nothing]),
-                    pa.concat_arrays([pa.array(node, pa.int64()), nothing]),
-                    pa.concat_arrays([pa.array(check, pa.int64()), nothing]),
-                    pa.concat_arrays([pa.array(n, pa.int64()), nothing]),
-                    pa.concat_arrays([pa.array(bits, pa.list_(pa.int64())), pa.nulls(more, pa.list_(pa.int64()))]),
-                    pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(token)]),
-                    pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(seen.astype(np.int64))]),
-                ],
-                ["__id", "__hash", "node", "check", "n", "bits", "token", "seen"],
-            )
+                    held.append(found)
+                    total += len(found)
+                if total >= COUNTED_TOKENS:
+                    yield counted(held)
+                    held, total = [], 0
+            found_in = [pa.array(v, k) for v, k in zip((node, check, n, bits), kinds[2:6])]
+            nothing = [pa.nulls(len(n), pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found_in, *nothing], names)
+        if total:
+            yield counted(held)
 
     return docs.mapInArrow(run, "__id bigint, __hash bigint, node bigint, check bigint, n bigint, bits array<bigint>, token bigint, seen bigint")
 
