@@ -15,12 +15,13 @@ text holds all windows of a run. So:
 An anchor that occurs very often, as in a passage that a third of all documents share, would bring too many different
 pieces into one shard. The windows of such runs are dealt out one by one, by a digest of their whole content.
 
-Texts are shuffled once, compressed; both joins with them read the same shuffle.
+Texts are shuffled twice, compressed: to their anchors, and to the spans that go.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -237,9 +238,10 @@ def _pieces(into: dict[tuple, list[bytes]]) -> pa.RecordBatch:
     )
 
 
-#: What a judge is given: contents and numbers of windows of distinct pieces, and the places of each. It returns, for
-#: each piece, its places again and for each place the flat spans of window starts within the piece that go.
-Judge = Callable[[list[bytes], list[int], list[np.ndarray]], Iterator[tuple[np.ndarray, list[list[int]]]]]
+#: What a judge is given: contents and numbers of windows of distinct pieces, the places of each, and whether no other
+#: piece has its anchor. It returns, for each piece, its places again and for each place the flat spans of window
+#: starts within the piece that go.
+Judge = Callable[[list[bytes], list[int], list[np.ndarray], list[bool]], Iterator[tuple[np.ndarray, list[list[int]]]]]
 
 SPANS = "no_id boolean, id bigint, hash bigint, spans array<bigint>"
 
@@ -249,16 +251,20 @@ def _judged(found: DataFrame, judge: Judge, judge_windows: Judge, n_shards: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged: tuple[dict, dict] = ({}, {})
+        pieces_of: Counter[int] = Counter()
         for batch in batches:
-            for n, whole, content, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                held = merged[whole].setdefault(content, [n, []])
-                held[1].append(places)
+            for anchor, n, whole, content, places in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if content not in merged[whole]:
+                    merged[whole][content] = [n, [], anchor]
+                    pieces_of[anchor] += not whole
+                merged[whole][content][1].append(places)
         spans: dict[tuple, list[int]] = {}
         for whole, decide in ((False, judge), (True, judge_windows)):
             held = merged[whole]
-            numbers = [n for n, _ in held.values()]
-            places = [np.frombuffer(b"".join(p), PLACE) for _, p in held.values()]
-            for where, gone in decide(list(held), numbers, places):
+            numbers = [n for n, _, _ in held.values()]
+            places = [np.frombuffer(b"".join(p), PLACE) for _, p, _ in held.values()]
+            alone = [pieces_of[a] == 1 for _, _, a in held.values()]
+            for where, gone in decide(list(held), numbers, places, alone):
                 for (no_id, id_, hash_, start), own in zip(where.tolist(), gone):
                     if own:
                         spans.setdefault((no_id, id_, hash_), []).extend([start + x for x in own])
@@ -286,9 +292,9 @@ def removed_from(docs: DataFrame, id_col: str, text_col: str, kind: Windows, jud
     rows = keyed(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     # a mark tells apart documents of one id; where it fails to, one gets the other's anchors besides its own
-    key = {"id": F.coalesce("__id", F.lit(0).cast("long")), "mark": F.expr("cast(shiftleft(__hash, 32) as bigint) >> 32").cast("int")}
+    low = F.expr("cast(shiftleft(__hash, 32) as bigint) >> 32").cast("int")
+    key = {"id": F.coalesce("__id", F.lit(0).cast("long")), "mark": F.coalesce(low, F.lit(0))}
     texts = packed(rows).withColumns(key)
-    # both joins with the texts have one key, so the second reads the shuffle of the first
     with_anchors = texts.join(_wanted(rows, kind), ["id", "mark"]).select("__id", "__hash", "__packed", "shared", "hot")
     spans = _judged(_cut(with_anchors, kind), *judges, max(1, -(-size // kind.shard_bytes)))
     by_key = spans.withColumn("mark", F.expr("cast(shiftleft(hash, 32) as bigint) >> 32").cast("int")).groupBy("id", "mark")

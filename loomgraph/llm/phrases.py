@@ -79,7 +79,7 @@ def occurrences(spelled: list[str], times: list[int], width: int, window: int) -
     return found, confirmed
 
 
-def _judge(contents: list[bytes], numbers: list[int], places: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
+def _judge(contents: list[bytes], numbers: list[int], places: list[np.ndarray], alone: list[bool]) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
     texts = [c.split(b" ") for c in contents]
     alphabet = Alphabet(texts)
     spelled = [alphabet.spell(t) for t in texts]
@@ -106,7 +106,7 @@ def _judge(contents: list[bytes], numbers: list[int], places: list[np.ndarray])
         yield where, [passages.intervals(gone), *[everywhere] * (len(where) - 1)]
 
 
-def _judge_windows(contents: list[bytes], numbers: list[int], places: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
+def _judge_windows(contents: list[bytes], numbers: list[int], places: list[np.ndarray], alone: list[bool]) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
     """Of windows that came one by one, all but the first of equal ones go."""
     for where in map(np.unique, places):
         if len(where) > 1:

@@ -182,17 +182,23 @@ def recurring(contents: list[bytes], times: np.ndarray, window: int) -> list[np.
     return [again[e - s : e - s + max(0, s - window + 1)] for s, e in zip(sizes.tolist(), ends.tolist())]
 
 
-def _judge(contents: list[bytes], numbers: list[int], places: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
-    if not contents:
+def _judge(contents: list[bytes], numbers: list[int], places: list[np.ndarray], alone: list[bool]) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
+    """Pieces that share an anchor with others go into the shard's suffix array. The windows of a piece whose anchor
+    no other piece has can recur only where the whole piece does."""
+    sort = [i for i, only in enumerate(alone) if not only]
+    for where, n, only in zip(places, numbers, alone):
+        if only and len(where) > 1:
+            yield where, [[0, n]] * len(where)
+    if not sort:
         return
-    flags = recurring(contents, np.array(list(map(len, places))), WINDOW)
-    for where, flag in zip(places, flags):
+    flags = recurring([contents[i] for i in sort], np.array([len(places[i]) for i in sort]), WINDOW)
+    for i, flag in zip(sort, flags):
         gone = passages.intervals(flag)
         if gone:
-            yield where, [gone] * len(where)
+            yield places[i], [gone] * len(places[i])
 
 
-def _judge_windows(contents: list[bytes], numbers: list[int], places: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
+def _judge_windows(contents: list[bytes], numbers: list[int], places: list[np.ndarray], alone: list[bool]) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
     """Windows that came one by one recur if their content does."""
     for where in places:
         if len(where) > 1:
