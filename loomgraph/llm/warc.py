@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pandas as pd
@@ -149,12 +149,18 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], int, int]]:
         at = stop + 4
 
 
-ENTRY = "urlkey string, ts string, page bigint, url string, run string, offset bigint, type string, digest string, bytes bigint, refers bigint"
+#: Page ids travel as text: as numbers that may be missing they would become floats on the way.
+ENTRY = "urlkey string, ts string, page string, url string, run string, offset bigint, type string, digest string, bytes bigint, refers string"
 
 
-def _page(text: str | None) -> int | None:
+def _page(text: str | None) -> str | None:
     number = (text or "null").removeprefix("<urn:page:").removesuffix(">")
-    return None if number == "null" else int(number)
+    return None if number == "null" else number
+
+
+def _order(entry: tuple) -> tuple:
+    """What captures are ordered by: URL key, timestamp, page, a missing page first."""
+    return entry[0].encode(), entry[1], entry[2] is not None, int(entry[2] or 0)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -172,11 +178,8 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError(f"payload of {h['WARC-Record-ID']} doesn't have the digest in its record")
                     url = None if "X-Null-URI" in h else unquote(h["WARC-Target-URI"])
                     entries.append((unquote(h["X-URL-Key"]), h["WARC-Date"], _page(h["WARC-Record-ID"]), url, name, start, h["WARC-Type"], digest, size, _page(h.get("WARC-Refers-To"))))
-                entries.sort(key=lambda e: (e[0].encode(), e[1], e[2] is not None, e[2] or 0))
-                frame = pd.DataFrame(entries, columns=[c.split()[0] for c in ENTRY.split(", ")])
-                for column in ("page", "refers"):
-                    frame[column] = pd.array([e[frame.columns.get_loc(column)] for e in entries], "Int64")
-                yield frame
+                entries.sort(key=_order)
+                yield pd.DataFrame(entries, columns=[c.split()[0] for c in ENTRY.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInPandas(run, ENTRY)
@@ -187,21 +190,18 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     those of its URL key within its range, ``nth``, from 0."""
     n = max(1, -(-runs.count() // RANGE_ROWS))
     names = [f.name for f in runs.schema.fields]
-    key: Callable = lambda r: (r[0].encode(), r[1], r[2] is not None, r[2] or 0)
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces: dict[str, list[tuple]] = {}
         for frame in frames:
-            for c in ("page", "refers"):
-                frame[c] = frame[c].astype("Int64").astype(object).where(frame[c].notna(), None)
             for row in frame.itertuples(index=False, name=None):
                 pieces.setdefault(row[4], []).append(row)
         for rows in pieces.values():  # a piece arrives in its run's order, unless a fetch was retried out of order
-            if any(key(a) > key(b) for a, b in zip(rows, rows[1:])):
-                rows.sort(key=key)
+            if any(_order(a) > _order(b) for a, b in zip(rows, rows[1:])):
+                rows.sort(key=_order)
 
         def entries(name: str) -> Iterator[tuple]:
-            return ((key(row), i, name) for i, row in enumerate(pieces[name]))
+            return ((_order(row), i, name) for i, row in enumerate(pieces[name]))
 
         tree = LoserTree([entries(name) for name in sorted(pieces)])
         merged, nth, last = [], 0, None
@@ -210,21 +210,15 @@ def merge_runs(runs: DataFrame) -> DataFrame:
             nth, last = (nth + 1 if row[0] == last else 0), row[0]
             merged.append((*row, nth))
             if len(merged) == 10_000:
-                yield _frame(merged, names)
+                yield pd.DataFrame(merged, columns=[*names, "nth"])
                 merged = []
-        yield _frame(merged, names)
+        if merged:
+            yield pd.DataFrame(merged, columns=[*names, "nth"])
 
-    ranged = runs.repartitionByRange(n, "urlkey", "ts", "page")
+    ranged = runs.repartitionByRange(n, F.col("urlkey"), F.col("ts"), F.col("page").cast("bigint"))
     return ranged.mapInPandas(merge, f"{ENTRY}, nth bigint")
 
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=[*names, "nth"])
-    for c in ("page", "refers"):
-        frame[c] = pd.array([None if v is None else int(v) for v in frame[c]], "Int64")
-    return frame
-
-
 def archive_and_index(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write pages to archives in the shared folder, read them back, and return the merged index of captures.
 
@@ -241,11 +235,11 @@ def archive_and_index(pages: DataFrame, id_col: str = "page_id", url_col: str =
     runs = written(read_runs(spark, path), "cdx")
     index = merge_runs(runs)
     return index.select(
-        F.col("page").alias(id_col),
+        F.col("page").cast("bigint").alias(id_col),
         F.col("bytes").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"),
         F.col("type").alias("record_type"),
-        F.col("refers").alias("refers_to"),
+        F.col("refers").cast("bigint").alias("refers_to"),
         "urlkey",
         "ts",
         "nth",
