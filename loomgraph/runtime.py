@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = str(Path(__file__).resolve().parent.parent)
 _made: list[tuple[SparkSession, str]] = []
+#: Folders of local sessions that name none, by application.
+_own: dict[str, str] = {}
 
 
 #: Rows that a Python worker is sent at a time at most. Texts are long, and Spark's default of 10,000 rows can take
@@ -40,9 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = Path(tempfile.mkdtemp(prefix="loomgraph-")).as_uri()
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = Path(tempfile.mkdtemp(prefix="loomgraph-")).as_uri()
+    return _own[app]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
