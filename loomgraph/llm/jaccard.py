@@ -9,9 +9,9 @@ stays in proportion to the set.
 
 Candidates pass an exact bound first: sets are folded into bitmaps of about as many bits as they have tokens, a bit for
 the parity of the tokens that fall on it. Two bitmaps differ in no more bits than the sets differ in tokens. What is
-left is verified on the whole sets. To find components no more pairs are compared than it takes: first
-each set with its neighbour under every key, in an order that differs by key; then, under keys whose sets still lie
-in different components, the pairs across components.
+left is verified on the whole sets. To find components no more pairs are compared than it takes: first each set with its
+neighbour under some keys, in an order that differs by key; then with its neighbours under all keys, where they lie in
+different components; at last, under keys whose sets still do, all pairs across components that short bitmaps allow.
 """
 
 from __future__ import annotations
@@ -32,9 +32,8 @@ from loomgraph.runtime import checkpointed, workers_can_import, written
 #: Words of a shingle, and the least similarity of a link as a fraction.
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
-#: A token counts as frequent if at least one in so many documents has it, as far as tasks have seen it in numbers.
-FREQUENT_ONE_IN = 5_000
-FREQUENT_LEAST = 16
+#: A token that has been reported so often counts as frequent, if there are no more than BROADCAST_TOKENS of them.
+FREQUENT_LEAST = 3
 #: Occurrences in COUNTED_TOKENS successive tokens of a task from which on a token is reported at all.
 REPORTED = 3
 COUNTED_TOKENS = 3_000_000
@@ -42,6 +41,10 @@ COUNTED_TOKENS = 3_000_000
 BROADCAST_TOKENS = 1_000_000
 #: Tokens of a set for each part of the frequent tokens.
 TOKENS_PER_PART = 32
+#: The first round compares neighbours under one in so many keys.
+FIRST_KEYS = 16
+#: Longs of the short bitmaps that are compared under every key.
+SHORT = 8
 #: Sets to be verified that are made known to every worker at most; beyond it texts are shuffled to them, compressed.
 BROADCAST_SETS = 500_000
 #: Sets that a task remembers so as to emit the keys of equal ones once.
@@ -122,14 +125,14 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "__id bigint, __hash bigint, node bigint, check bigint, n bigint, bits array<bigint>, token bigint, seen bigint")
 
 
-def frequent_tokens(scanned: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_tokens(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Frequent tokens in ascending order and the class of each: the larger, the more frequent.
 
     Every document is counted, but tokens that are rare in a batch aren't reported: the counts are lower bounds.
     They only shape the order of tokens, and any order gives the same links. At most BROADCAST_TOKENS are returned.
     """
     counts = written(scanned.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")), "jaccard-tokens")
-    least = max(FREQUENT_LEAST, documents // FREQUENT_ONE_IN)
+    least = FREQUENT_LEAST
     while counts.where(F.col("seen") >= least).count() > BROADCAST_TOKENS:
         least *= 2
     table = counts.where(F.col("seen") >= least).toArrow()
@@ -284,6 +287,35 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> Da
     return written(verified(left, _sets(docs, firsts.join(ends, "node", "left_semi"))), name)
 
 
+def _component(frame: DataFrame, found: DataFrame, node: str, name: str) -> DataFrame:
+    """``frame`` with the component of ``node``: itself if it has no links."""
+    joined = frame.join(found.select(F.col("node").alias("__v"), F.col("component").alias("__c")), F.col(node) == F.col("__v"), "left")
+    return joined.withColumn(name, F.coalesce("__c", node)).drop("__v", "__c")
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes lie in different components."""
+    return _component(_component(pairs, found, "a", "ca"), found, "b", "cb").where("ca <> cb").select("a", "b")
+
+
+def _across(shared: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """All pairs (a, b) of one key and different components that sizes and short bitmaps allow."""
+    labelled = _component(shared.select("key", "node", "c"), found, "node", "component")
+    # two sets of one key were neighbours under it and have been compared
+    spread = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("sets"))
+    rest = labelled.join(spread.where("lo <> hi and sets > 2").select("key"), "key", "left_semi")
+    # a bitmap folds to any smaller size; one that is shorter already can only be compared with its equals
+    short = [F.expr(f"aggregate(filter(bits, (v, i) -> i % {SHORT} = {j}), 0L, (u, v) -> u ^ v)").alias(f"b{j}") for j in range(SHORT)]
+    folded_ = nodes.select(F.col("node").alias("__m"), "n", F.least(F.size("bits"), F.lit(SHORT)).alias("w"), *short)
+    rest = rest.join(folded_, F.col("node") == F.col("__m")).drop("__m")
+    rest = written(rest, "jaccard-open")
+    unequal = " + ".join(f"bit_count(x.b{j} ^ y.b{j})" for j in range(SHORT))
+    may_differ = f"x.n + y.n - 2 * ceil((x.n + y.n) * {NUMERATOR} / {NUMERATOR + DENOMINATOR})"
+    fits = f"least(x.n, y.n) * {DENOMINATOR} >= greatest(x.n, y.n) * {NUMERATOR}"
+    meet = f"x.key = y.key and x.node < y.node and x.component <> y.component and abs(x.c - y.c) <= 1 and {fits} and (x.w <> y.w or {unequal} <= {may_differ})"
+    return rest.alias("x").join(rest.alias("y"), F.expr(meet)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The component of near duplicates that each document lies in.
 
@@ -316,7 +348,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     row = nodes.agg(F.count(F.lit(1)), F.count(F.when(F.col("least_check") != F.col("most_check"), 1))).first()
     if row[1]:
         raise ValueError("two different sets have equal 64-bit identities: take another digest size in _identity")
-    known = frequent_tokens(scanned, row[0])
+    known = frequent_tokens(scanned)
 
     by_key = Window.partitionBy("key").orderBy("c", F.xxhash64("node", "key"), "node")
     index = _index(rows.select("__text"), known)
@@ -324,26 +356,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = written(
         ordered.where("(before is not null and before <> node) or (after is not null and after <> node)").select("key", "node", "c", "before"), "jaccard-keys"
     )
-    tested = written(
-        shared.where("before <> node").select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct(), "jaccard-pairs"
-    )
-    links = _links(tested, nodes, rows, "jaccard-links")
+    beside = shared.where("before <> node").select("key", F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b"))
+    first = written(beside.where(F.pmod(F.xxhash64("key"), F.lit(FIRST_KEYS)) == 0).select("a", "b").distinct(), "jaccard-first")
+    links = _links(first, nodes, rows, "jaccard-links-1")
     found = connected_components(links)
 
-    # under keys that still join different components, all pairs across them
-    labelled = shared.select("key", "node", "c").join(found.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").select(
-        "key", "node", "c", F.coalesce("component", "node").alias("component")
-    )
-    # two sets of one key were neighbours under it and have been compared
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("sets")).where("lo <> hi and sets > 2")
-    rest = written(labelled.join(open_keys.select("key"), "key", "left_semi"), "jaccard-open")
-    across = (
-        rest.alias("x")
-        .join(rest.alias("y"), F.expr("x.key = y.key and x.node < y.node and x.component <> y.component and abs(x.c - y.c) <= 1"))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-    )
-    more = _links(across.join(tested, ["a", "b"], "left_anti"), nodes, rows, "jaccard-more-links")
+    second = written(_apart(beside.select("a", "b").distinct(), found), "jaccard-second")
+    links = links.unionByName(_links(second, nodes, rows, "jaccard-links-2"))
+    found = connected_components(links)
+
+    third = written(_across(shared, nodes, found).join(second, ["a", "b"], "left_anti"), "jaccard-third")
+    more = _links(third, nodes, rows, "jaccard-links-3")
     found = connected_components(links.unionByName(more)) if not more.isEmpty() else found
 
     placed = nodes.join(found.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").select(

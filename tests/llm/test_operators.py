@@ -266,10 +266,11 @@ def test_archives(spark, monkeypatch):
 # --- Jaccard join
 
 
-@pytest.mark.parametrize("frequent", [2, 16])
-def test_components(spark, odd, empty, monkeypatch, frequent):
+@pytest.mark.parametrize("frequent,first", [(2, 16), (100, 10**9)])
+def test_components(spark, odd, empty, monkeypatch, frequent, first):
     monkeypatch.setattr(jaccard, "FREQUENT_LEAST", frequent)
     monkeypatch.setattr(jaccard, "REPORTED", 2)
+    monkeypatch.setattr(jaccard, "FIRST_KEYS", first)
     rng = random.Random(9)
     base = cases.words(90, 50).split()
     items = [(i, t, "s") for i, t, _ in cases.odd_texts() if i is not None]
