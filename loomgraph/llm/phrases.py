@@ -134,3 +134,16 @@ def phrase_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = passages.Windows(True, WINDOW, GRAM, SHARD_BYTES)
     schema = "n_words bigint, n_removed bigint, kept_sha256 string"
     return passages.removed_from(docs, id_col, text_col, kind, (_judge, _judge_windows), schema, _finish)
+
+
+#: The same rows in DuckDB.
+ORACLE = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+x as (select doc_id, w, unnest(range(1, len(w) + 1)) as j from d),
+k as (
+  select doc_id, j, w[j] as word, case when j + 19 <= len(w) then array_to_string(w[j:j + 19], ' ') end as passage from x),
+f as (select *, case when passage is null then false else row_number() over (partition by passage order by doc_id, j) > 1 end as later from k),
+g as (select *, max(later) over (partition by doc_id order by j rows between 19 preceding and current row) as gone from f),
+a as (select doc_id, count(*) as n, count(*) filter (gone) as r, string_agg(word, ' ' order by j) filter (not gone) as kept from g group by doc_id)
+select d.doc_id, coalesce(n, 0)::bigint as n_words, coalesce(r, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join a on d.doc_id = a.doc_id
+"""

@@ -74,4 +74,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixture": mixture.ORACLE, "op2_bm25": bm25.ORACLE, "op6_exact_dedup": exact.ORACLE, "op8_warc": warc.ORACLE, "op9_jaccard": jaccard.ORACLE}
+    return {
+        "op1_mixture": mixture.ORACLE,
+        "op2_bm25": bm25.ORACLE,
+        "op5_phrase_dedup": phrases.ORACLE,
+        "op6_exact_dedup": exact.ORACLE,
+        "op8_warc": warc.ORACLE,
+        "op9_jaccard": jaccard.ORACLE,
+    }
