@@ -29,9 +29,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def document_hash(id_col: Column, seed: str) -> Column:
-    """60 bits that depend on the seed and the id alone; other engines can compute them too."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null"))))
+def document_hash(id_col: Column, text: Column, seed: str) -> Column:
+    """60 bits that depend on the seed and the id alone, or on the text where there is no id; other engines can
+    compute them too."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -128,7 +129,7 @@ def planned(
             F.col(id_col).alias("__id"),
             F.col(source_col).alias("__source"),
             n_words(F.col(text_col)).alias("__size"),
-            document_hash(F.col(id_col), seed).alias("__hash"),
+            document_hash(F.col(id_col), F.col(text_col), seed).alias("__hash"),
         ),
         "mixture",
     )
@@ -160,7 +161,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **settings: object) -> DataFram
 
     Returns a row for each row: the id, size (words; null text: 0), source_size, target (of the source), taken
     (words, repeats counted) and copies (how often the document is taken). A null source is a source of its own.
-    Rows of equal id have equal hashes and are taken alike, so reruns agree. Sources without words have target 0. An
+    Rows of equal id, or of equal text and no id, have equal hashes and are taken alike, so reruns agree. Sources without words have target 0. An
     empty table gives no rows. Other columns are ignored, whatever their names.
     """
     rows, plan, few = planned(docs, id_col=id_col, **settings)  # type: ignore[arg-type]
@@ -174,11 +175,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **settings: object) -> DataFram
     )
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: str = "mixture", **settings: object) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mixture", **settings: object) -> DataFrame:
     """The rows of the mixture: each row of ``docs`` as often as it is taken, with the columns of ``docs``. The texts
     are not shuffled: a row's hash and its source's threshold decide where it stands."""
-    _, plan, few = planned(docs, id_col=id_col, source_col=source_col, seed=seed, **settings)  # type: ignore[arg-type]
-    keyed = docs.withColumn("__source", F.col(source_col)).withColumn("__hash", document_hash(F.col(id_col), seed))
+    _, plan, few = planned(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **settings)  # type: ignore[arg-type]
+    keyed = docs.withColumn("__source", F.col(source_col)).withColumn("__hash", document_hash(F.col(id_col), F.col(text_col), seed))
     chosen = by_source(keyed, plan, few).withColumn("__copies", copies().cast("int")).where(F.col("__copies") > 0)
     return chosen.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
@@ -187,7 +188,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 ORACLE = r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-         ('0x' || substr(md5('mixture:' || coalesce(doc_id::varchar, 'null')), 1, 15))::bigint as h
+         ('0x' || substr(md5('mixture:' || coalesce(doc_id::varchar, sha256(coalesce(text, '')))), 1, 15))::bigint as h
   from documents),
 s as (
   select source, sum(size)::bigint as source_size,

@@ -66,7 +66,7 @@ def shard(
             F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("__source"),
             (n_bytes(F.col(text_col)) + 1).alias("__size"),
             F.crc32(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))).alias("__crc"),
-            document_hash(F.col(id_col), seed).alias("__hash"),
+            document_hash(F.col(id_col), F.col(text_col), seed).alias("__hash"),
         ),
         "shard",
     )
