@@ -49,24 +49,28 @@ class Alphabet:
         return "".join(map(self.code.__getitem__, text))
 
 
-def occurrences(spelled: list[str], times: list[int], width: int, window: int) -> tuple[list[list[tuple[int, int]]], int]:
-    """For each text the (start, passage) of every recurring passage in it, and how many passages recur.
+def occurrences(spelled: list[str], times: list[int], width: int, window: int, alone: list[bool] | None = None) -> tuple[list[list[tuple[int, int, int]]], int]:
+    """For each text the (start, passage, windows) of every recurring passage in it, and how many passages recur.
 
     Passages that occur twice, with text i standing for ``times[i]`` equal ones, are confirmed by their words; one
-    automaton holds them all, and every text is streamed through it.
+    automaton holds them all, and every text is streamed through it. A text that shares nothing with others, as
+    ``alone`` says, is one passage; any other is cut into passages of one window.
     """
     import ahocorasick
 
     span = window * width
     seen: Counter[str] = Counter()
-    for text, n in zip(spelled, times):
-        for i in range(0, len(text) - span + 1, width):
-            seen[text[i : i + span]] += n
+    for i, (text, n) in enumerate(zip(spelled, times)):
+        if alone is not None and alone[i]:
+            seen[text] += n
+        else:
+            for j in range(0, len(text) - span + 1, width):
+                seen[text[j : j + span]] += n
     automaton = ahocorasick.Automaton()
     confirmed = 0
     for passage, n in seen.items():
         if n > 1:
-            automaton.add_word(passage, confirmed)
+            automaton.add_word(passage, (confirmed, len(passage)))
             confirmed += 1
     del seen
     if not confirmed:
@@ -74,36 +78,42 @@ def occurrences(spelled: list[str], times: list[int], width: int, window: int) -
     automaton.make_automaton()
     found = []
     for text in spelled:
-        hits = ((end + 1 - span, passage) for end, passage in automaton.iter(text))
-        found.append([(start // width, passage) for start, passage in hits if start % width == 0])
+        hits = ((end + 1 - length, passage, length) for end, (passage, length) in automaton.iter(text))
+        found.append([(start // width, passage, (length - span) // width + 1) for start, passage, length in hits if start % width == 0])
     return found, confirmed
 
 
 def _judge(contents: list[bytes], numbers: list[int], places: list[np.ndarray], alone: list[bool]) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
-    texts = [c.split(b" ") for c in contents]
+    # rows equal in id and text bring one place twice
+    places = [np.unique(p) if len(p) > 1 else p for p in places]
+    # a piece that stands once, with an anchor that no other piece has, holds nothing that recurs
+    keep = [i for i, (p, only) in enumerate(zip(places, alone)) if len(p) > 1 or not only]
+    texts = [contents[i].split(b" ") for i in keep]
     alphabet = Alphabet(texts)
     spelled = [alphabet.spell(t) for t in texts]
     del texts
-    # rows equal in id and text bring one place twice
-    places = [np.unique(p) for p in places]
-    found, confirmed = occurrences(spelled, [len(p) for p in places], alphabet.width, WINDOW)
+    found, confirmed = occurrences(spelled, [len(places[i]) for i in keep], alphabet.width, WINDOW, [alone[i] for i in keep])
     best: list[tuple | None] = [None] * confirmed
     owner = [-1] * confirmed
-    for i, (where, hits) in enumerate(zip(places, found)):
-        no_id, id_, hash_, start = where[0].tolist()
-        for at, passage in hits:
-            own = (no_id, id_, hash_, start + at)
-            if best[passage] is None or own < best[passage]:
-                best[passage], owner[passage] = own, i
-    for i, (where, hits, n) in enumerate(zip(places, found, numbers)):
+    for i, hits in zip(keep, found):
+        if hits:
+            no_id, id_, hash_, start = places[i][0].tolist()
+            for at, passage, _ in hits:
+                own = (no_id, id_, hash_, start + at)
+                if best[passage] is None or own < best[passage]:
+                    best[passage], owner[passage] = own, i
+    for i, hits in zip(keep, found):
         if not hits:
             continue
-        gone = np.zeros(n, bool)
-        gone[[at for at, _ in hits]] = True
+        gone = np.zeros(numbers[i], bool)
+        for at, _, windows in hits:
+            gone[at : at + windows] = True
         everywhere = passages.intervals(gone)
         # the least place of a piece keeps the passages that occur there first
-        gone[[at for at, passage in hits if owner[passage] == i]] = False
-        yield where, [passages.intervals(gone), *[everywhere] * (len(where) - 1)]
+        for at, passage, windows in hits:
+            if owner[passage] == i:
+                gone[at : at + windows] = False
+        yield places[i], [passages.intervals(gone), *[everywhere] * (len(places[i]) - 1)]
 
 
 def _judge_windows(contents: list[bytes], numbers: list[int], places: list[np.ndarray], alone: list[bool]) -> Iterator[tuple[np.ndarray, list[list[int]]]]:

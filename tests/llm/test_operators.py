@@ -175,8 +175,9 @@ def test_automaton_finds_every_occurrence():
     letters = phrases.Alphabet([[b"a", b"b"], [b"c"]])
     assert letters.spell([b"a", b"c", b"a"]) == letters.spell([b"a"]) + letters.spell([b"c"]) + letters.spell([b"a"])
     found, n = phrases.occurrences(["abcabc", "zabcz"], [1, 1], 1, 3)
-    assert n == 1 and found == [[(0, 0), (3, 0)], [(1, 0)]]
+    assert n == 1 and found == [[(0, 0, 1), (3, 0, 1)], [(1, 0, 1)]]
     assert phrases.occurrences(["abcd"], [1], 1, 3) == ([[]], 0)
+    assert phrases.occurrences(["abcde", "xyz"], [2, 1], 1, 3, [True, False]) == ([[(0, 0, 3)], []], 1)
 
 
 # --- exact dedup
