@@ -127,10 +127,10 @@ def record(refers: Column) -> Column:
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write a record for each page to gzip-compressed archives under ``path``."""
     known = decided(pages, id_col, url_col, html_col)
-    total = pages.agg(F.sum(F.octet_length(html_col)), F.count(F.lit(1))).first()
-    n = max(1, -(-int((total[0] or 0) + 500 * total[1]) // ARCHIVE_BYTES))
-    # rows are dealt out one by one, as a group of copies or a host may hold a third of them
-    known.repartition(n).select(record(F.col("refers")).alias("value")).write.option("lineSep", CRLF).option("compression", "gzip").text(path)
+    total, rows = pages.agg(F.sum(F.octet_length(html_col)), F.count(F.lit(1))).first()
+    per_archive = max(1, ARCHIVE_BYTES * rows // max(1, (total or 0) + 500 * rows))
+    # payloads stay where the join has put them; Spark splits a group of copies that is large for one task
+    known.select(record(F.col("refers")).alias("value")).write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", per_archive).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], int, int]]:
