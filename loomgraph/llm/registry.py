@@ -50,7 +50,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(_documents(spark, sf_dir)).drop("text_hash")
+    return jaccard.jaccard_components(_documents(spark, sf_dir)).drop("text_hash", "component_key")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

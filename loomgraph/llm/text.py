@@ -6,6 +6,7 @@ memory does not follow the size of an Arrow batch. A single document longer than
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,11 @@ _IS_SEP[list(SEPARATORS)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+#: Words longer than this are hashed one by one.
+LONG_WORD = 128
+#: Masks for the first 0 to 8 bytes of a little-endian word.
+_HEAD = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK64 = (1 << 64) - 1
 
@@ -114,7 +120,29 @@ def lower(data: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_sums(data.astype(np.uint64) + np.uint64(1)), starts, ends)
+    """A hash of each word: its length and then its bytes, eight at a time, each step spread by ``mix``.
+
+    Words of up to eight bytes never collide with others of their length; longer ones only as random numbers do. (A
+    polynomial modulo a power of two, as ``span_hash`` is, has colliding words of a simple structure.)
+    """
+    lengths = ends - starts
+    out = mix(lengths.astype(np.uint64) * np.uint64(_BASE))
+    if not len(out):
+        return out
+    wide = np.ndarray((len(data),), "<u8", np.concatenate((data, np.zeros(8, np.uint8))).tobytes(), strides=(1,))
+    left, at = lengths, starts
+    short = left <= LONG_WORD
+    which = np.flatnonzero(short)
+    left, at = left[which], at[which]
+    while len(which):
+        part = wide[at] & _HEAD[np.minimum(left, 8)]
+        out[which] = mix(out[which] ^ part) + np.uint64(_BASE)
+        more = left > 8
+        which, left, at = which[more], left[more] - 8, at[more] + 8
+    for i in np.flatnonzero(~short).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return mix(out)
 
 
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -128,6 +156,25 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+#: Bits of a place within the units of one call; so many low bits of a hash are not compared.
+_PLACE_BITS = 24
+
+
+def leftmost_min(keys: np.ndarray, width: int) -> np.ndarray:
+    """Position of the leftmost minimum of each ``width`` consecutive keys of 40 bits or less.
+
+    Works on stretches whose places fit into the low bits, so the result depends on the keys alone, however many."""
+    n = len(keys) - width + 1
+    step = (1 << _PLACE_BITS) - width
+    out = np.empty(n, np.int64)
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    for first in range(0, n, step):
+        part = keys[first : min(first + step + width - 1, len(keys))]
+        least = sliding_min((part << np.uint64(_PLACE_BITS)) | np.arange(len(part), dtype=np.uint64), width)
+        out[first : first + len(least)] = (least & low).astype(np.int64) + first
+    return out
+
+
 def runs(units: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """Split the windows of every document into runs that share an anchor.
 
@@ -142,10 +189,8 @@ def runs(units: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple[n
     sums = prefix_sums(units)
     at = np.arange(n - gram + 1)
     grams = span_hash(sums, at, at + gram)
-    bits = max(20, int(n).bit_length())
-    low = np.uint64((1 << bits) - 1)
-    least = sliding_min((grams & ~low) | at.astype(np.uint64), window - gram + 1)
-    anchor = (least & low).astype(np.int64)
+    # the place breaks ties among equal leading bits, and the bits compared are the same for a text of any length
+    anchor = leftmost_min(grams >> np.uint64(_PLACE_BITS), window - gram + 1)
     # a window is valid if it ends within the document in which it starts
     doc_of = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: len(anchor)]
     valid = np.arange(len(anchor)) + window <= offs[1:][doc_of]

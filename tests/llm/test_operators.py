@@ -15,8 +15,11 @@ import cases  # noqa: E402
 import oracle  # noqa: E402
 import public_tokenizers  # noqa: E402
 
+from loomgraph import runtime  # noqa: E402
 from loomgraph.llm import bm25, bpe, components, exact, jaccard, mixture, passages, phrases, quality, registry, sharding, suffixes, text, warc  # noqa: E402
 
+#: A word of two letters such that it and the one with its letters exchanged have equal polynomial hashes modulo 2**64.
+THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
 VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
@@ -267,19 +270,21 @@ def test_archives(spark, monkeypatch):
 # --- Jaccard join
 
 
-@pytest.mark.parametrize("frequent,first", [(2, 16), (100, 10**9)])
-def test_components(spark, odd, empty, monkeypatch, frequent, first):
-    monkeypatch.setattr(jaccard, "FREQUENT_LEAST", frequent)
-    monkeypatch.setattr(jaccard, "REPORTED", 2)
-    monkeypatch.setattr(jaccard, "FIRST_KEYS", first)
+@pytest.mark.parametrize("frequent,rounds,name_bytes", [(2, 1, 8), (100, 3, 1), (2, 0, 8)])
+def test_components(spark, odd, empty, monkeypatch, frequent, rounds, name_bytes):
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "PART_TOKENS", 3000)
+    monkeypatch.setattr(jaccard, "_NAME_BYTES", name_bytes)  # with few names sets pass over those of others
     rng = random.Random(9)
     base = cases.words(90, 50).split()
     items = [(i, t, "s") for i, t, _ in cases.odd_texts() if i is not None]
-    for i in range(100, 180):
+    for i in range(100, 160):
         w = list(base)
         for _ in range(rng.randint(0, 6)):
             w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
         items.append((i, " ".join(w), "s"))
+    items += [(200, THUE, "s"), (201, THUE.translate(str.maketrans("ab", "ba")), "s")]
     roots, sizes = cases.plain_components([t for _, t, _ in items])
     rows = {r.doc_id: r for r in jaccard.jaccard_components(cases.frame(spark, items)).collect()}
     for (i, _, _), root, n in zip(items, roots, sizes):
@@ -288,6 +293,26 @@ def test_components(spark, odd, empty, monkeypatch, frequent, first):
     assert jaccard.jaccard_components(empty).collect() == []
 
 
+def test_thousands_of_near_copies(spark):
+    """A large group of near copies and strangers that share its beginning: plain components, and few pairs compared."""
+    rng = random.Random(5)
+    base, items = cases.words(70, 77).split(), []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        items.append((i, " ".join(w), "s"))
+    items += [(i, " ".join(base[:40]) + " " + cases.words(30, i), "s") for i in range(2000, 2200)]
+    before = len(runtime.scratch_tables())
+    rows = {r.doc_id: r.component_id for r in jaccard.jaccard_components(cases.frame(spark, items)).collect()}
+    roots, _ = cases.plain_components([t for _, t, _ in items])
+    assert [rows[i] for i, _, _ in items] == [items[r][0] for r in roots]
+    made = runtime.scratch_tables()[before:]
+    keyed = spark.read.parquet(next(p for p in made if "jaccard-keys" in p)).count()
+    compared = sum(spark.read.parquet(p).count() for p in made if "-close-" in p)
+    assert compared < keyed < 2000 * 300
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(3)
     for trial in range(300):
@@ -297,11 +322,17 @@ def test_linked_sets_share_a_key():
         change = rng.random(len(b)) < rng.choice([0.02, 0.1, 0.16])
         b[change] = rng.integers(0, 2**63, int(change.sum())).astype(np.uint64)
         b = np.unique(b)
+        b = b[: int(len(b) * rng.choice([1.0, 0.9]))]
         both = len(np.intersect1d(a, b))
-        known = np.sort(rng.choice(a, int(len(a) * rng.choice([0, 0.3, 1.0])), replace=False))
-        grade = rng.integers(1, 5, len(known)).astype(np.uint64)
-        if 100 * both >= 75 * (len(a) + len(b) - both):
-            assert len(np.intersect1d(jaccard.keys(a, known, grade), jaccard.keys(b, known, grade)))
+        if len(b) and 100 * both >= 75 * (len(a) + len(b) - both):
+            # how many sets have each token: these two and others
+            times = {t: int((t in a) + (t in b) + rng.choice([0, 1, 60, 100])) for t in np.union1d(a, b).tolist()}
+            found = []
+            for x in (a, b):
+                own = np.array([t for t in x.tolist() if times[t] > 1], np.uint64)
+                found.append(jaccard.keys(own, np.array([times[t] for t in own.tolist()], np.int64), len(x)))
+            (long_, _), (short, near) = found if len(a) >= len(b) else found[::-1]
+            assert len(np.intersect1d(long_, short[near]))
         small = min(len(jaccard.folded(a)), len(jaccard.folded(b)))
         x, y = (f if len(f) == small else f[:small] ^ f[small:] for f in (jaccard.folded(a), jaccard.folded(b)) if len(f) <= 2 * small)
         unequal = int(np.unpackbits((x ^ y).view(np.uint8)).sum())
