@@ -183,8 +183,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), 256)).alias("digest")),
         "digests",
     )
-    least, most, count = rows.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
-    middle = 0 if least is None else (least + most) // 2
+    middle, count = rows.agg(F.percentile_approx("id", 0.5, 1000), F.count(F.lit(1))).first()
+    middle = 0 if middle is None else middle
     upper = F.col("id") >= middle
     groups = [F.max("id").alias("winner"), F.count(F.lit(1)).alias("n")]
     n_shards = max(1, -(-count // SHARD_DIGESTS))

@@ -161,8 +161,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **settings: object) -> DataFram
 
     Returns a row for each row: the id, size (words; null text: 0), source_size, target (of the source), taken
     (words, repeats counted) and copies (how often the document is taken). A null source is a source of its own.
-    Rows of equal id, or of equal text and no id, have equal hashes and are taken alike, so reruns agree. Sources without words have target 0. An
-    empty table gives no rows. Other columns are ignored, whatever their names.
+    Rows of equal id, or of equal text and no id, have equal hashes and are taken alike, so reruns agree. Sources
+    without words have target 0. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     rows, plan, few = planned(docs, id_col=id_col, **settings)  # type: ignore[arg-type]
     return by_source(rows, plan, few).select(
@@ -176,12 +176,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **settings: object) -> DataFram
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mixture", **settings: object) -> DataFrame:
-    """The rows of the mixture: each row of ``docs`` as often as it is taken, with the columns of ``docs``. The texts
+    """The rows of the mixture: each row of ``docs`` as often as it is taken, with the columns of ``docs``.
+
+    A null source is a source of its own; null and empty texts have no words and, like every row of a source without
+    words, are taken as often as the source as a whole: not at all if it has none. Rows of equal id, or of equal text and
+    no id, are taken alike. An empty table gives no rows. Other columns are carried along, whatever their names. The texts
     are not shuffled: a row's hash and its source's threshold decide where it stands."""
     _, plan, few = planned(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **settings)  # type: ignore[arg-type]
-    keyed = docs.withColumn("__source", F.col(source_col)).withColumn("__hash", document_hash(F.col(id_col), F.col(text_col), seed))
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    keyed = docs.select(whole_row, F.col(source_col).alias("__source"), document_hash(F.col(id_col), F.col(text_col), seed).alias("__hash"))
     chosen = by_source(keyed, plan, few).withColumn("__copies", copies().cast("int")).where(F.col("__copies") > 0)
-    return chosen.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    return chosen.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")
 
 
 #: The same rows in DuckDB.

@@ -223,8 +223,10 @@ def _inputs(docs: DataFrame, id_col: str, text_col: str, chars_col: str) -> Data
 def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", chars_col: str = "n_chars") -> Model:
     """A model learned from at most SAMPLE_ROWS labelled rows that aren't held out.
 
-    A document with several labels counts as good if half of them are. Null ids and labels are ignored. Without
-    labelled rows there is nothing to go by and every document scores 1.
+    A document with several labels counts as good if half of them are. Null ids and labels are ignored. Of several
+    documents with one id the one whose text has the least hash is learned from. Null and empty texts are learned from
+    by their statistics. Without labelled rows, or documents, there is nothing to go by and every document scores 1.
+    Other columns are ignored.
     """
     workers_can_import(docs.sparkSession)
     known = (
@@ -234,7 +236,9 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         .orderBy(F.md5(F.col("__lid").cast("string")), "__lid")
         .limit(SAMPLE_ROWS)
     )
-    sample = _inputs(docs, id_col, text_col, chars_col).join(F.broadcast(known), F.col("__id") == F.col("__lid")).select("__id", "__text", "__chars", "__label")
+    sample = _inputs(docs, id_col, text_col, chars_col).join(F.broadcast(known), F.col("__id") == F.col("__lid"))
+    one = F.min(F.struct(F.xxhash64("__text").alias("h"), "__text", "__chars", "__label")).alias("one")
+    sample = sample.groupBy("__id").agg(one).select("__id", "one.__text", "one.__chars", "one.__label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,7 +294,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, unchanged."""
+    """The rows of ``docs`` that the classifier accepts, unchanged.
+
+    Each row is judged by its text alone, so equal texts of equal n_chars share a verdict; null and empty texts are judged
+    by their statistics. An empty table gives no rows. Other columns are carried along, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     workers_can_import(docs.sparkSession)
     own = docs.schema

@@ -77,6 +77,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixture": mixture.ORACLE,
         "op2_bm25": bm25.ORACLE,
+        "op3_substring_dedup": suffixes.ORACLE,
+        "op4_sharding": sharding.ORACLE,
         "op5_phrase_dedup": phrases.ORACLE,
         "op6_exact_dedup": exact.ORACLE,
         "op8_warc": warc.ORACLE,

@@ -95,3 +95,22 @@ def shard(
         F.lit(None).cast("int").alias("grown_shard"),
         F.when(F.col("__source") != "", F.expr("substr(__source, 2)")).alias(source_col),
     )
+
+
+#: The contract's columns in DuckDB. The checksum is computed bit by bit from its polynomial.
+ORACLE = """
+with recursive bits(i, k, c) as (
+  select range::bigint, 0, range::bigint from range(256)
+  union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8),
+steps as (select list(c order by i) as t from bits where k = 8),
+d as (
+  select doc_id, coalesce('=' || source, '') as s, strlen(coalesce(text, '')) + 1 as size,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: ('0x' || h)::bigint)),
+      lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) as crc,
+    ('0x' || substr(md5('shards:' || coalesce(doc_id::varchar, sha256(coalesce(text, '')))), 1, 15))::bigint as h
+  from documents, steps),
+r as (select *, row_number() over (partition by s order by h, doc_id nulls first, crc, size) - 1 as rank, count(*) over (partition by s) as n from d),
+p as (select *, row_number() over (order by (2 * rank + 1)::double / (2 * n)::double, s) - 1 as pos, count(*) over () as total from r),
+q as (select *, (pos * 16) // total as shard from p)
+select doc_id, size::bigint as size, crc::bigint as text_crc32, 'rows' as law, shard::int as shard, (pos - (shard * total + 15) // 16)::bigint as slot, null::int as grown_shard from q
+"""

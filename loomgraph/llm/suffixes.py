@@ -15,7 +15,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from loomgraph.llm import passages
-from loomgraph.llm.text import prefix_sums, span_hash
 
 #: Length of the strings that may not recur, in bytes, and of their anchors.
 WINDOW = 200
@@ -102,6 +101,20 @@ def _induce(t: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray, size: int)
     return out
 
 
+def _equal(t: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether each substring equals the one before it, symbol by symbol. No substring is empty."""
+    out = lengths[1:] == lengths[:-1]
+    which = np.flatnonzero(out)
+    a, b, left, at = starts[which], starts[which + 1], lengths[which], 0
+    while len(which):
+        same = t[a + at] == t[b + at]
+        out[which[~same]] = False
+        at += 1
+        go_on = same & (left > at)
+        which, a, b, left = which[go_on], a[go_on], b[go_on], left[go_on]
+    return out
+
+
 def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     """Starts of the suffixes of ``t`` in order. The last symbol is 0 and occurs nowhere else; all are below ``size``."""
     n = len(t)
@@ -118,12 +131,11 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     order = sorted_[is_leftmost[sorted_]]
     # a leftmost-smaller substring reaches to the start of the next, whose symbol it includes
     ends = np.append(leftmost[1:], n - 1) + 1
-    digest = span_hash(prefix_sums(t.astype(np.uint64) * np.uint64(2) + smaller + np.uint64(1)), leftmost, ends)
     place = np.zeros(n, np.int64)
     place[leftmost] = np.arange(len(leftmost))
     rows = place[order]
-    length = ends - leftmost
-    differs = (digest[rows][1:] != digest[rows][:-1]) | (length[rows][1:] != length[rows][:-1])
+    length = (ends - leftmost)[rows]
+    differs = ~_equal(t, order, length)
     names = np.empty(len(leftmost), np.int64)
     names[rows] = np.concatenate(([0], np.cumsum(differs)))
     distinct = int(names.max()) + 1
@@ -223,3 +235,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = passages.Windows(False, WINDOW, GRAM, SHARD_BYTES)
     schema = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     return passages.removed_from(docs, id_col, text_col, kind, (_judge, _judge_windows), schema, _finish)
+
+
+#: The same rows in DuckDB.
+ORACLE = """
+with h as (select doc_id, hex(coalesce(text, '')) as x, strlen(coalesce(text, '')) as n from documents),
+p as (select doc_id, n, x, unnest(range(1, n + 1)) as j from h),
+b as (select doc_id, j, substr(x, 2 * j - 1, 2) as byte, case when j + 199 <= n then sha256(substr(x, 2 * j - 1, 400)) end as w from p),
+f as (select *, w is not null and count(*) over (partition by w) > 1 as again from b),
+g as (select *, max(again) over (partition by doc_id order by j rows between 199 preceding and current row) as gone from f),
+e as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by j), false) as opens from g),
+a as (select doc_id, count(*) filter (gone) as r, count(*) filter (opens) as s, string_agg(byte, '' order by j) filter (not gone) as kept from e group by doc_id)
+select h.doc_id, h.n::bigint as n_bytes, coalesce(r, 0)::bigint as n_removed, coalesce(s, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from h left join a on h.doc_id = a.doc_id
+"""

@@ -97,7 +97,7 @@ def decided(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
         rows.where(large).groupBy("same").agg(F.max("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("same").alias("s"), "first")
     )
     joined = rows.join(winners, F.col("same") == F.col("s"), "left")
-    return joined.select("page", "url", "html", "size", F.when(F.col("first") != F.col("page"), F.col("first")).alias("refers"))
+    return joined.select("page", "url", "html", "size", F.when(~F.col("page").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
 
 
 def record(refers: Column) -> Column:
@@ -226,8 +226,8 @@ def archive_and_index(pages: DataFrame, id_col: str = "page_id", url_col: str =
     record_type, refers_to (the page whose response a revisit refers to), and where the capture stands: urlkey, ts,
     nth, archive, offset. Of equal payloads of at least REVISIT_BYTES bytes the one with the largest id is the
     response; smaller ones are all responses. A null html is an empty payload; null URLs have the empty key; a null
-    id is smaller than all others; rows of equal id and payload are all responses if they have the group's largest
-    id. An empty table gives no rows. Other columns are ignored.
+    id is smaller than all others, so its page revisits any other of its group; rows of equal id and payload are all
+    responses if they have the group's largest id, or if no page of the group has an id. An empty table gives no rows. Other columns are ignored.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
@@ -253,7 +253,7 @@ ORACLE = """
 with p as (select page_id, coalesce(html, '') as html from pages),
 g as (select html, max(page_id) as first, count(*) as n from p where strlen(html) >= 1000 group by html)
 select p.page_id, strlen(p.html)::bigint as payload_bytes, sha1(p.html) as payload_digest,
-       case when g.first is null or g.first = p.page_id then 'response' else 'revisit' end as record_type,
-       case when g.first <> p.page_id then g.first end as refers_to
+       case when g.first is null or g.first is not distinct from p.page_id then 'response' else 'revisit' end as record_type,
+       case when p.page_id is distinct from g.first then g.first end as refers_to
 from p left join g on p.html = g.html
 """
