@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.text import chunks, prefix_sums, span_hash, words
+from loomgraph.llm.text import chunks, prefix_sums, span_hash, unused, words
 from loomgraph.runtime import workers_can_import
 
 #: Buckets of hashed words, and components of a feature's vector.
@@ -309,5 +309,6 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", chars_col: s
             found = shared.value.score(batch.column(n - 2), batch.column(n - 1).to_numpy(zero_copy_only=False))
             yield batch.select(list(range(n - 2))).filter(pa.array(found >= ACCEPT))
 
-    plus = docs.select("*", F.col(text_col).cast("binary").alias("__quality_text"), F.coalesce(chars, F.lit(0.0)).alias("__quality_chars"))
+    text, size = (unused(docs.columns, c) for c in ("__quality_text", "__quality_chars"))
+    plus = docs.select("*", F.col(text_col).cast("binary").alias(text), F.coalesce(chars, F.lit(0.0)).alias(size))
     return plus.mapInArrow(run, own)

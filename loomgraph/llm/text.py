@@ -32,6 +32,14 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK64 = (1 << 64) - 1
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, made longer until none of ``columns`` has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of rows in the bytes) of successive rows. Null rows are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -420,3 +420,52 @@ def test_pipeline(spark, tmp_path):
     kept = {r.doc_id for r in spark.read.parquet(str(tmp_path / "out2")).collect()}
     assert counts[1] > counts[2] > counts[3] and 8 in kept and not {1, 2} <= kept and counts[4] == counts[5]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == counts[5]
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    """Repeated and missing ids, repeated rows, names that the operators use themselves, and no rows at all."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    base, near = cases.words(80, 1), cases.words(80, 1).replace(" ", "  ") + " tail"
+    other = cases.words(80, 2)
+    items = [(1, base, "a"), (1, base, "a"), (1, near, "a"), (None, near, None), (None, base, "b"), (None, near, None), (2, other, "b"), (2, other, "c"), (3, None, "a"), (4, "", "a"), (None, " ", "a")]
+    names = ["text_sha256", "__hash", "__copies", "__source", "__copy", "__s", "__total", "gone_id", "kept", "id", "digest", "__row", "keep_id", "component_key", "__quality_text"]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(*i, *(f"{n}!" for n in names)) for i in items], schema).cache()
+
+    def texts(name):
+        out = stages[name](spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert all(r[n] == f"{n}!" for r in rows for n in names)
+        assert stages[name](spark, docs.where("false"), str(tmp_path)).collect() == []
+        return sorted(((r.doc_id, r.text) for r in rows), key=str)
+
+    assert texts("quality") == sorted(((i, t) for i, t, _ in items), key=str)
+    assert texts("exact_dedup") == sorted([(1, base), (1, near), (2, other), (4, ""), (None, " ")], key=str)
+    kept = texts("near_dedup")
+    assert len([1 for _, t in kept if t in (base, near)]) == 1 and (None, base) not in kept and (None, near) not in kept
+    assert sorted((i, t) for i, t in kept if t == other) == [(2, other)] and {(3, None), (4, ""), (None, " ")} <= set(kept)
+    assert set(texts("mixture")) <= {(i, t) for i, t, _ in items}
+    out = stages["encode"](spark, docs, str(tmp_path)).collect()
+    assert len(out) == len(items) and stages["encode"](spark, docs.where("false"), str(tmp_path)).collect() == []
+
+
+def test_archives_of_pages_without_ids(spark):
+    big = "p" * 1500
+    rows = warc.archive_and_index(spark.createDataFrame([(5, "u", big), (None, "u", big), (None, "v", "q" * 1200), (None, "w", "q" * 1200)], "page_id long, url string, html string")).collect()
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in rows if r.payload_bytes == 1500) == [("5", "response", None), ("None", "revisit", 5)]
+    assert {(r.record_type, r.refers_to) for r in rows if r.payload_bytes == 1200} == {("response", None)}
+
+
+def test_sample_of_documents_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 5)
+    seen = []
+    learn = quality.Machine.learn
+    monkeypatch.setattr(quality.Machine, "learn", lambda self, i, x, offs, label, **k: (seen.append(len(label)), learn(self, i, x, offs, label, **k))[1])
+    docs = cases.frame(spark, [(i % 40, cases.words(20, i), "s") for i in range(2000)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    quality.learned(docs, labels)
+    assert seen == [5]
