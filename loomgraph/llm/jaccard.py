@@ -10,12 +10,12 @@ bring too many sets together, only in combinations. Tokens are dealt into k - 1
 put two into one part, only pairs within a part are needed: their number stays in proportion to the set.
 
 Components need no more pairs than it takes to connect them. In each of a few rounds every set is compared with one set
-for each of its keys, the key's least in an order of the round, unless both are in one component already. What is left
+for each of its keys, the key's least in some order, unless both are in one component already. What is left
 is compared across components: under each key all sets outside its largest component with all others. Of such a pair the
 larger set has the key in its long prefix and the smaller one in its short prefix, so sets of like size need to share
-more. Candidates pass an exact bound first: sets are folded into bitmaps of about as many bits as they have tokens, a bit
-for the parity of the tokens that fall on it, and two bitmaps differ in no more bits than the sets differ in tokens.
-What passes is verified on the whole sets.
+more. Candidates pass an exact bound first: the tokens that a set shares with any other are folded into a bitmap of some
+four times as many bits, a bit for the parity of the tokens that fall on it. Two sets differ in their tokens of no other
+set and in as many others as their bitmaps differ in bits, at least. What passes is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -49,8 +49,9 @@ PART_TOKENS = 1_000_000
 MOST_PARTITIONS = 20_000
 #: Rounds that compare each set with one for each key.
 ROUNDS = 3
-#: Longs of the short bitmaps that are compared under every key.
-SHORT = 8
+#: Bits of a bitmap for each token, and the longs of the short bitmaps that are compared under every key.
+BITS = 4
+SHORT = 16
 #: Sets that a task remembers so as to emit the tokens of equal ones once.
 REMEMBERED_SETS = 1_000_000
 #: Added to the count of a common token, so that all of them come after all others.
@@ -95,38 +96,36 @@ def name(tokens: np.ndarray, taken: frozenset[int] = frozenset()) -> tuple[int,
 
 
 def folded(tokens: np.ndarray) -> np.ndarray:
-    """The bitmap of a set, as longs: of the least power of two of bits, at 64 least, that is no less than its size."""
-    bits = max(64, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else 64
+    """The bitmap of a set, as longs: of the least power of two of bits, at SHORT longs least, that is no less than BITS
+    times its size."""
+    bits = max(64 * SHORT, 1 << (BITS * max(1, len(tokens)) - 1).bit_length())
     odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def _scan(docs: DataFrame, taken: frozenset[int]) -> DataFrame:
-    """A row for each document (__id, __hash, node, check, n, bits), and rows (token, seen) for tokens that are common
-    in a batch."""
-
-    names = ["__id", "__hash", "node", "check", "n", "bits", "token", "seen"]
-    kinds = [*[pa.int64()] * 5, pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    """A row for each document (__id, __hash, node, check, n), and rows (token, seen) for tokens that are common in a
+    batch."""
+    names = ["__id", "__hash", "node", "check", "n", "token", "seen"]
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         token, seen = np.unique(np.concatenate(held), return_counts=True)
         often = seen >= REPORTED
         token, seen = pa.array(token[often].view(np.int64)), pa.array(seen[often].astype(np.int64))
-        return pa.RecordBatch.from_arrays([*(pa.nulls(len(token), k) for k in kinds[:6]), token, seen], names)
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(token), pa.int64())] * 5, token, seen], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         of_batch: set[int] = set()
         total = 0
         for batch in batches:
-            node, check, n, bits = [], [], [], []
+            node, check, n = [], [], []
             for _, _, data, offs in chunks(batch.column(2)):
                 for found in shingle_sets(data, offs):
                     a, b = name(found, taken) if len(found) else (None, None)
                     node.append(a)
                     check.append(b)
                     n.append(len(found))
-                    bits.append(folded(found) if len(found) else None)
                     if a not in of_batch:
                         of_batch.add(a)
                         held.append(found)
@@ -134,13 +133,13 @@ def _scan(docs: DataFrame, taken: frozenset[int]) -> DataFrame:
                 if total >= COUNTED_TOKENS:
                     yield counted(held)
                     held, of_batch, total = [], set(), 0
-            found_in = [pa.array(v, k) for v, k in zip((node, check, n, bits), kinds[2:6])]
+            found_in = [pa.array(v, pa.int64()) for v in (node, check, n)]
             nothing = [pa.nulls(len(n), pa.int64())] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found_in, *nothing], names)
         if total:
             yield counted(held)
 
-    return docs.mapInArrow(run, "__id bigint, __hash bigint, node bigint, check bigint, n bigint, bits array<bigint>, token bigint, seen bigint")
+    return docs.mapInArrow(run, "__id bigint, __hash bigint, node bigint, check bigint, n bigint, token bigint, seen bigint")
 
 
 def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[int]]:
@@ -156,7 +155,6 @@ def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[int]]:
                 F.min("check").alias("least_check"),
                 F.max("check").alias("most_check"),
                 F.first("n").alias("n"),
-                F.first("bits").alias("bits"),
             ),
             "jaccard-nodes",
         )
@@ -381,8 +379,9 @@ def _met(dealt: DataFrame, n_parts: int) -> DataFrame:
 
 
 def _indexed(met: DataFrame, n_parts: int) -> DataFrame:
-    """(node, n, tokens, keys, short) of the sets that have keys: their tokens that other sets have, too."""
-    names = ["node", "n", "tokens", "keys", "short"]
+    """(node, n, tokens, bits, keys, short) of the sets that have keys: their tokens that other sets have, too, and the
+    bitmap of these."""
+    names = ["node", "n", "tokens", "bits", "keys", "short"]
     long_list, bool_list = pa.list_(pa.int64()), pa.list_(pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,20 +401,21 @@ def _indexed(met: DataFrame, n_parts: int) -> DataFrame:
                 own, where = np.unique(token[a:b].view(np.uint64), return_index=True)  # common tokens may come from several tasks
                 found, short = keys(own, count[a:b][where], int(n[a]))
                 if len(found):
-                    out.append((int(node[a]), int(n[a]), own.view(np.int64), found.view(np.int64), short))
+                    out.append((int(node[a]), int(n[a]), own.view(np.int64), folded(own), found.view(np.int64), short))
             if out:
-                kinds = [pa.int64(), pa.int32(), long_list, long_list, bool_list]
+                kinds = [pa.int64(), pa.int32(), long_list, long_list, long_list, bool_list]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names)
 
     sorted_ = met.repartition(max(1, min(n_parts, MOST_PARTITIONS)), "node").sortWithinPartitions("node")
-    return sorted_.mapInArrow(run, "node bigint, n int, tokens array<bigint>, keys array<bigint>, short array<boolean>")
+    return sorted_.mapInArrow(run, "node bigint, n int, tokens array<bigint>, bits array<bigint>, keys array<bigint>, short array<boolean>")
 
 
-def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that sizes and bitmaps allow to be similar enough."""
-    left = nodes.select(F.col("node").alias("x"), F.col("n").alias("m"), F.col("bits").alias("s"))
-    right = nodes.select(F.col("node").alias("y"), "n", F.col("bits").alias("t"))
-    joined = pairs.join(left, F.col("a") == F.col("x")).where("m > 0").join(right, F.col("b") == F.col("y"))
+    alone = F.col("n") - F.size("tokens")
+    left = sets.select(F.col("node").alias("x"), F.col("n").alias("m"), F.col("bits").alias("s"), alone.alias("only_x"))
+    right = sets.select(F.col("node").alias("y"), "n", F.col("bits").alias("t"), alone.alias("only_y"))
+    joined = pairs.join(left, F.col("a") == F.col("x")).join(right, F.col("b") == F.col("y"))
     sizes = F.col("m") + F.col("n")
     may_differ = sizes - 2 * F.ceil(sizes * NUMERATOR / F.lit(NUMERATOR + DENOMINATOR))
 
@@ -428,7 +428,7 @@ def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     t = F.when(F.size("t") > F.size("s"), halved(F.col("t"))).otherwise(F.col("t"))
     unequal = F.aggregate(F.zip_with(s, t, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda total, x: total + x)
     fits = F.least("m", "n") * DENOMINATOR >= F.greatest("m", "n") * NUMERATOR
-    return joined.where(fits).where(unequal <= may_differ).select("a", "b")
+    return joined.where(fits).where(unequal + F.col("only_x") + F.col("only_y") <= may_differ).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -440,9 +440,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(both * DENOMINATOR >= NUMERATOR * (F.col("m") + F.col("n") - both)).select("a", "b")
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """The links among candidate pairs, as a written table."""
-    return written(verified(written(close(pairs, nodes), f"{name}-close"), sets), name)
+    return written(verified(written(close(pairs, sets), f"{name}-close"), sets), name)
 
 
 def _labelled(frame: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -458,31 +458,35 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def _starred(labelled: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of each set with the least of its key in the order of a turn, if they lie in different components."""
-    least = labelled.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("m"))
+    """Pairs (a, b) of each set with the least of its key in the order of a turn, if they lie in different components.
+
+    In the first turn keys have one order, so sets that share most keys meet the same few; later, when few sets are left
+    apart, each key has its own, so that these meet many."""
+    order = F.xxhash64("node") if not turn else F.xxhash64("node", "key", F.lit(turn))
+    least = labelled.groupBy("key").agg(F.min(F.struct(order.alias("h"), "node", "component")).alias("m"))
     least = least.select(F.col("key").alias("__k"), F.col("m.node").alias("__n"), F.col("m.component").alias("__c"))
     joined = labelled.join(least, (F.col("key") == F.col("__k")) & (F.col("component") != F.col("__c")))
     return joined.select(*_ordered("node", "__n")).distinct()
 
 
-def _across(labelled: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+def _across(labelled: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """All pairs (a, b) of one key and different components that sizes, prefixes and short bitmaps allow."""
     sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("sets"))
     top = sizes.groupBy("key").agg(F.max(F.struct("sets", "component")).alias("top"), F.count(F.lit(1)).alias("components")).where("components > 1")
     top = top.select(F.col("key").alias("__k"), F.col("top.component").alias("largest"))
     open_ = labelled.join(top, F.col("key") == F.col("__k")).drop("__k")
-    # a bitmap folds to any smaller size; one that is shorter already can only be compared with its equals
+    # a bitmap folds to any smaller size
     short = [F.expr(f"aggregate(filter(bits, (v, i) -> i % {SHORT} = {j}), 0L, (u, v) -> u ^ v)").alias(f"b{j}") for j in range(SHORT)]
-    small = nodes.select(F.col("node").alias("__m"), F.least(F.size("bits"), F.lit(SHORT)).alias("w"), *short)
+    small = sets.select(F.col("node").alias("__m"), (F.col("n") - F.size("tokens")).alias("alone"), *short)
     open_ = written(open_.join(small, F.col("node") == F.col("__m")).drop("__m"), f"{name}-open")
-    unequal = " + ".join(f"bit_count(x.b{j} ^ y.b{j})" for j in range(SHORT))
+    unequal = "x.alone + y.alone + " + " + ".join(f"bit_count(x.b{j} ^ y.b{j})" for j in range(SHORT))
     may_differ = f"x.n + y.n - 2 * ceil((x.n + y.n) * {NUMERATOR} / {NUMERATOR + DENOMINATOR})"
     fits = f"least(x.n, y.n) * {DENOMINATOR} >= greatest(x.n, y.n) * {NUMERATOR}"
     # of sets that both lie outside the key's largest component a pair comes once
     once = "(y.component = y.largest or x.node < y.node)"
     # the smaller set has the key in its short prefix
     near = "case when x.n < y.n then x.short when y.n < x.n then y.short else x.short and y.short end"
-    meet = f"x.key = y.key and x.component <> y.component and {once} and {near} and {fits} and (x.w <> y.w or {unequal} <= {may_differ})"
+    meet = f"x.key = y.key and x.component <> y.component and {once} and {near} and {fits} and {unequal} <= {may_differ}"
     outside = open_.where("component <> largest")
     return outside.alias("x").join(open_.alias("y"), F.expr(meet)).select(*_ordered("x.node", "y.node")).distinct()
 
@@ -517,8 +521,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links, found = None, None
     for turn in range(ROUNDS + 1):
         labelled = _labelled(shared, found)
-        pairs = _starred(labelled, turn) if turn < ROUNDS else _across(labelled, nodes, "jaccard-across")
-        more = _links(pairs, nodes, sets, f"jaccard-links-{turn}")
+        pairs = _starred(labelled, turn) if turn < ROUNDS else _across(labelled, sets, "jaccard-across")
+        more = _links(pairs, sets, f"jaccard-links-{turn}")
         links = more if links is None else links.unionByName(more)
         if not more.isEmpty():
             found = written(connected_components(links), f"jaccard-components-{turn}")
