@@ -1,13 +1,15 @@
 """Exact top-k search by BM25 with block-max pruning in sharded inverted indexes.
 
-Documents are indexed where they are read, a bounded number of bytes to a shard. Statistics are global: documents,
+Documents are indexed where they are read, a bounded number of postings to a shard. Statistics are global: documents,
 average length and document frequencies are counted over the whole corpus before any query runs, so scores of
 different shards compare and the merged result is that of one index.
 
-Within a shard the pivot test of WAND is made for all documents of a shard at once. Lists whose bounds sum to less
-than the k-th best score so far cannot carry a document on their own. The other lists are added up; a document is
-looked at only if that sum plus the bounds of the skipped lists within its block, the block maxima, reaches the k-th
-best score. The scores of what is left are completed by lookups in the skipped lists.
+Within a shard a query is run by block-max WAND, a block of documents at a time. A query's lists stand in order of their
+bounds. In each block the running sum of the block's maxima in that order finds the pivot: the first list at which the
+sum reaches the k-th best score so far. A document that has no posting at the pivot or after it cannot reach that score
+and is never looked at; if there is no pivot, the cursors of all lists go past the block. Blocks with the highest bounds
+come first, so the score to beat rises soon. Of a block's lists before the pivot postings are read only if a document
+that has others could still make it.
 """
 
 from __future__ import annotations
@@ -26,10 +28,14 @@ from loomgraph.runtime import workers_can_import, written
 K1 = 1.2
 B = 0.75
 #: Postings of a shard, and documents of a block.
-SHARD_POSTINGS = 2_000_000
-BLOCK_DOCS = 256
+SHARD_POSTINGS = 1_000_000
+BLOCK_DOCS = 64
+#: Blocks that are visited first; each step takes four times as many.
+FIRST_BLOCKS = 4
 #: Terms of the queries that visit the shards together; a longer query visits them alone.
 BLOCK_TERMS = 1_000_000
+#: Terms whose frequencies are added up in a task before they are shuffled.
+COUNTED_TERMS = 2_000_000
 #: Scores are compared at so many decimal places; ties go to the smaller id.
 PLACES = 6
 
@@ -51,7 +57,7 @@ SHARD = "ids binary, null_ids binary, lengths binary, vocabulary binary, offsets
 
 
 def build_shards(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each shard: an inverted index with some SHARD_POSTINGS postings."""
+    """A row for each shard: an inverted index with some SHARD_POSTINGS postings, of documents that have any."""
 
     def packed(rows: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         ids = pa.concat_arrays([r[0] for r in rows])
@@ -67,7 +73,7 @@ def build_shards(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             ids.is_null().to_numpy(zero_copy_only=False),
             lengths,
             term[first].astype("<u8"),
-            np.append(first, len(term)).astype("<i8"),
+            np.append(first, len(term)).astype("<i4"),
             doc.astype("<i4"),
             count.astype("<i4"),
         ]
@@ -90,16 +96,29 @@ def build_shards(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _statistics(shards: DataFrame) -> DataFrame:
-    """(term, df, docs, length): document frequencies in each shard, and in rows without term its totals."""
+    """(term, df, length): document frequencies within a task, and in rows without term the length of a shard's texts."""
+    names = ["term", "df", "length"]
+
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        term, at = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+        df = np.bincount(at, np.concatenate([n for _, n in held]), len(term)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(term), pa.array(df), pa.nulls(len(term), pa.int64())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
             for vocabulary, offsets, lengths in zip(*(batch.column(i) for i in range(3))):
                 term = np.frombuffer(vocabulary.as_py(), "<i8")
-                df = np.diff(np.frombuffer(offsets.as_py(), "<i8"))
-                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df), pa.nulls(len(term), pa.int64())], ["term", "df", "length"])
+                held.append((term, np.diff(np.frombuffer(offsets.as_py(), "<i4"))))
+                size += len(term)
                 total = int(np.frombuffer(lengths.as_py(), "<i8").sum())
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([total], pa.int64())], ["term", "df", "length"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([total], pa.int64())], names)
+                if size >= COUNTED_TERMS:
+                    yield added(held)
+                    held, size = [], 0
+        if held:
+            yield added(held)
 
     return shards.select("vocabulary", "offsets", "lengths").mapInArrow(run, "term bigint, df bigint, length bigint")
 
@@ -113,93 +132,107 @@ def _query_terms(queries: DataFrame) -> DataFrame:
     return queries.mapInArrow(run, "query_id bigint, term bigint")
 
 
+def _spread(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all ranges after one another, and the range of each."""
+    lengths = end - first
+    of = np.repeat(np.arange(len(first)), lengths)
+    return np.arange(len(of)) + np.repeat(first - (np.cumsum(lengths) - lengths), lengths), of
+
+
 class Shard:
-    """An inverted index in memory, with the bounds of its lists and of their blocks."""
+    """An inverted index in memory, with the bounds of its lists in each block."""
 
     def __init__(self, row: dict[str, bytes], average: float):
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.null = np.frombuffer(row["null_ids"], bool)
-        lengths = np.frombuffer(row["lengths"], "<i8")
         self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
-        self.offsets = np.frombuffer(row["offsets"], "<i8")
-        self.docs = np.frombuffer(row["docs"], "<i4").astype(np.int64)
-        count = np.frombuffer(row["counts"], "<i4").astype(np.float64)
+        self.docs = np.frombuffer(row["docs"], "<i4")
         self.n = len(self.ids)
-        norm = K1 * (1 - B + B * lengths / max(average, 1e-9))
+        #: Blocks that were passed over whole, postings that were read, and those of the queries' lists.
+        self.skipped_blocks = self.read = self.listed = 0
+        norm = K1 * (1 - B + B * np.frombuffer(row["lengths"], "<i8") / max(average, 1e-9))
+        count = np.frombuffer(row["counts"], "<i4")
         self.weight = count * (K1 + 1) / (count + norm[self.docs])
-        term = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.offsets))
-        self.key = term * self.n + self.docs
         if len(self.docs):
-            self.most = np.maximum.reduceat(self.weight, self.offsets[:-1])
+            offsets = np.frombuffer(row["offsets"], "<i4").astype(np.int64)
+            opens = np.zeros(len(self.docs), bool)
+            opens[offsets[:-1]] = True
             block = self.docs // BLOCK_DOCS
-            first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1]))))
-            self.block, self.block_most = block[first], np.maximum.reduceat(self.weight, first)
-            self.block_offsets = np.searchsorted(first, self.offsets)
-
-    @staticmethod
-    def _spread(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of all ranges after one another, and the range of each."""
-        lengths = end - first
-        of = np.repeat(np.arange(len(first)), lengths)
-        return np.arange(len(of)) + np.repeat(first - (np.cumsum(lengths) - lengths), lengths), of
-
-    def _sum(self, lists: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        """Sums of the lists' contributions to every document."""
-        at, of = self._spread(self.offsets[lists], self.offsets[lists + 1])
+            opens[1:] |= block[1:] != block[:-1]
+            # an entry is what a list has in a block: where its postings begin, which block, and the largest weight
+            first = np.flatnonzero(opens)
+            self.starts = np.append(first, len(self.docs))
+            self.block, self.most = block[first], np.maximum.reduceat(self.weight, first)
+            self.entries = np.searchsorted(first, offsets)
+
+    def _sum(self, entries: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Sums of what the postings of some entries give to every document."""
+        at, of = _spread(self.starts[entries], self.starts[entries + 1])
+        self.read += len(at)
         return np.bincount(self.docs[at], self.weight[at] * idf[of], self.n)
 
-    def _looked_up(self, lists: np.ndarray, idf: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Sums of the lists' contributions to some documents."""
-        if int((self.offsets[lists + 1] - self.offsets[lists]).sum()) < 20 * len(lists) * len(docs):
-            return self._sum(lists, idf)[docs]
-        key = lists[:, None] * self.n + docs
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return (np.where(self.key[at] == key, self.weight[at], 0.0) * idf[:, None]).sum(0)
-
     def top(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents and scores of all that can be among the k best."""
+        nothing = np.zeros(0, np.int64), np.zeros(0)
         if not len(self.docs) or not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0)
+            return nothing
         at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
         hit = self.vocabulary[at] == terms
         lists, idf = at[hit], idf[hit]
         if not len(lists):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = idf * self.most[lists]
-        order = np.argsort(bound, kind="stable")
-        lists, idf, bound = lists[order], idf[order], bound[order]
-        # a first threshold: whole scores of the documents that do best on the lists with the highest bounds
-        sizes = np.cumsum((self.offsets[lists + 1] - self.offsets[lists])[::-1])
-        few = max(1, int(np.searchsorted(sizes, 8 * k, "right")) + 1)
-        partial = self._sum(lists[-few:], idf[-few:])
-        best = np.argpartition(-partial, min(2 * k, self.n) - 1)[: 2 * k]
-        best = best[partial[best] > 0]
-        least = 0.0
-        if len(best) >= k:
-            scores = partial[best] + (self._looked_up(lists[:-few], idf[:-few], best) if few < len(lists) else 0)
-            least = max(0.0, float(np.partition(scores, len(scores) - k)[len(scores) - k]) - 10.0**-PLACES)
-        # lists that together stay below the threshold carry no document by themselves
-        skipped = min(int(np.searchsorted(np.cumsum(bound), least)), len(lists) - 1)
-        sums = self._sum(lists[skipped:], idf[skipped:])
-        if skipped:
-            places, of = self._spread(self.block_offsets[lists[:skipped]], self.block_offsets[lists[:skipped] + 1])
-            limit = np.bincount(self.block[places], self.block_most[places] * idf[of], -(-self.n // BLOCK_DOCS))
-            docs = np.flatnonzero((sums > 0) & (sums + limit[np.arange(self.n) // BLOCK_DOCS] >= least))
-            scores = sums[docs] + self._looked_up(lists[:skipped], idf[:skipped], docs)
-        else:
-            docs = np.flatnonzero(sums > 0)
-            scores = sums[docs]
-        scores = np.round(scores, PLACES)
-        if len(docs) > k:
-            enough = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-            docs, scores = docs[enough], scores[enough]
+            return nothing
+        entry, of = _spread(self.entries[lists], self.entries[lists + 1])
+        bound = idf[of] * self.most[entry]
+        self.listed += int((self.starts[self.entries[lists + 1]] - self.starts[self.entries[lists]]).sum())
+        # lists in ascending order of their bounds, and the running sums of bounds of each block in that order
+        highest = np.zeros(len(lists))
+        np.maximum.at(highest, of, bound)
+        place = np.empty(len(lists), np.int64)
+        place[np.argsort(highest, kind="stable")] = np.arange(len(lists))
+        block = self.block[entry].astype(np.int64)
+        order = np.lexsort((place[of], block))
+        entry, of, bound, block = entry[order], of[order], bound[order], block[order]
+        opens = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        running = np.cumsum(bound)
+        running -= np.repeat(running[opens] - bound[opens], np.diff(np.append(opens, len(block))))
+        limit = np.zeros(-(-self.n // BLOCK_DOCS))
+        limit[block[opens]] = running[np.append(opens[1:], len(block)) - 1]
+        visit = block[opens][np.argsort(-limit[block[opens]], kind="stable")]
+        docs, scores, least = *nothing, 0.0
+        step = FIRST_BLOCKS
+        while len(visit):
+            now, visit = visit[:step], visit[step:]
+            step *= 4
+            chosen = np.zeros(len(limit), bool)
+            chosen[now] = True
+            here = chosen[block]
+            after = here & (running >= least)  # at the pivot or after it
+            sums = self._sum(entry[after], idf[of[after]])
+            rest = np.zeros(len(limit))  # bounds of the lists before the pivot
+            before = here & ~after
+            np.maximum.at(rest, block[before], running[before])
+            found = np.flatnonzero(sums > 0)
+            found = found[sums[found] + rest[found // BLOCK_DOCS] >= least]
+            if len(found) and before.any():
+                open_ = np.zeros(len(limit), bool)
+                open_[found // BLOCK_DOCS] = True
+                before &= open_[block]
+                sums = sums + self._sum(entry[before], idf[of[before]])
+            docs, scores = np.concatenate((docs, found)), np.concatenate((scores, np.round(sums[found], PLACES)))
+            if len(docs) >= k:
+                kth = np.partition(scores, len(scores) - k)[len(scores) - k]
+                docs, scores = docs[scores >= kth], scores[scores >= kth]
+                least = max(0.0, float(kth) - 2 * 10.0**-PLACES)
+                going_on = limit[visit] >= least
+                self.skipped_blocks += int((~going_on).sum())
+                visit = visit[going_on]
         return docs, scores
 
 
-def _visit(shards: DataFrame, queries: pa.Table, average: float, k: int) -> DataFrame:
-    """(query_id, doc_id, score): what each shard has to offer to a block of queries."""
+def _visit(shards: DataFrame, queries: pa.Table, average: float, k: int, name: str) -> DataFrame:
+    """(query_id, doc_id, score): what each shard has to offer to a block of queries, as a written table."""
     lists = queries["terms"].combine_chunks()
-    order = [a.as_py() for a in queries["query_id"]]
+    order = queries["query_id"].to_numpy()
     offs = lists.offsets.to_numpy()
     flat = lists.values
     terms, idf = flat.field("term").to_numpy().view(np.uint64), flat.field("idf").to_numpy()
@@ -215,12 +248,14 @@ def _visit(shards: DataFrame, queries: pa.Table, average: float, k: int) -> Data
                 if not tops:
                     continue
                 best = np.concatenate([t[0] for t in tops])
-                query = np.repeat(np.array(query_ids, np.int64), [len(t[0]) for t in tops])
+                query = np.repeat(query_ids, [len(t[0]) for t in tops])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(query), pa.array(shard.ids[best], mask=shard.null[best]), pa.array(np.concatenate([t[1] for t in tops]))], ["query_id", "doc_id", "score"]
                 )
 
-    return shards.mapInArrow(run, "query_id bigint, doc_id bigint, score double")
+    found = written(shards.mapInArrow(run, "query_id bigint, doc_id bigint, score double"), name)
+    shared.destroy()
+    return found
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id_col: str = "doc_id", query_text_col: str = "text") -> DataFrame:
@@ -231,6 +266,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     id, null ids last. Only documents that share a term with the query are returned, so a query may have fewer than
     k rows, and one without terms none. Null is the empty text. Repeated rows are documents of their own; a repeated
     query id stands for the union of its texts' terms. Empty tables give no rows. Other columns are ignored.
+
+    Queries visit the shards in blocks of BLOCK_TERMS terms, which go through the driver one after the other; a block's
+    results are written before the next one comes, so neither the driver nor a worker holds more than one.
     """
     workers_can_import(docs.sparkSession)
     shards = written(build_shards(docs, id_col, text_col), "bm25-shards")
@@ -246,9 +284,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     weighted = written(weighted, "bm25-queries")
     n_blocks = max(1, -(-(weighted.agg(F.sum(F.size("terms"))).first()[0] or 0) // BLOCK_TERMS))
     found = None
-    for block in range(n_blocks):  # one pass over the shards for each block, whose size is bounded
+    for block in range(n_blocks):
         part = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).toArrow()
-        visit = _visit(shards, part, average, k)
+        visit = _visit(shards, part, average, k, f"bm25-found-{block}")
         found = visit if found is None else found.unionByName(visit)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

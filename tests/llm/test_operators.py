@@ -114,6 +114,26 @@ def test_search_is_exact_and_pruned(spark, odd, empty, monkeypatch):
     assert bm25.search(empty, empty).collect() == [] and bm25.search(odd, empty).collect() == []
 
 
+def test_blocks_are_skipped_and_postings_left_unread(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "BLOCK_DOCS", 8)
+    rng = random.Random(6)
+    texts = [cases.words(rng.randint(20, 60), i, 150) for i in range(2000)]
+    wanted = "rare words of one story " + cases.words(10, 1, 150)
+    texts[800:816] = [wanted + " " + cases.words(5, i, 150) for i in range(16)]
+    row = bm25.build_shards(cases.frame(spark, [(i, t, "s") for i, t in enumerate(texts)]).coalesce(1), "doc_id", "text").first()
+    shard = bm25.Shard(row.asDict(), sum(len(t.split()) for t in texts) / len(texts))
+    terms = np.unique(next(bm25._terms(spark.range(1).selectExpr(f"'{wanted}' t").toArrow()["t"].combine_chunks()))[2])
+    df = [int((np.frombuffer(row.vocabulary, "<u8") == t).any()) and int(np.diff(np.frombuffer(row.offsets, "<i4"))[np.frombuffer(row.vocabulary, "<u8") == t][0]) for t in terms]
+    docs, scores = shard.top(terms, np.log1p((2000 - np.array(df) + 0.5) / (np.array(df) + 0.5)), 10)
+    assert set(shard.ids[docs].tolist()) <= set(range(800, 816)) and len(docs) >= 10
+    assert shard.skipped_blocks > 150 and shard.read < shard.listed / 4
+
+
+def test_words_of_equal_polynomials_are_two_terms(spark):
+    docs = cases.frame(spark, [(1, THUE, "s"), (2, THUE.translate(str.maketrans("ab", "ba")), "s"), (3, "x", "s")])
+    assert {(r.query_id, r.doc_id) for r in bm25.search(docs, docs).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
 # --- suffix arrays
 
 
