@@ -19,12 +19,15 @@ _own: dict[str, str] = {}
 #: Rows that a Python worker is sent at a time at most. Texts are long, and Spark's default of 10,000 rows can take
 #: hundreds of megabytes on either side.
 BATCH_ROWS = 2_000
+#: Bytes of rows after which a batch ends, however few rows it has.
+BATCH_BYTES = 16 << 20
 
 
 def workers_can_import(spark: SparkSession) -> None:
     """Put this checkout on the Python path of workers started from now on, and bound what they are sent at a time."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in parts:
