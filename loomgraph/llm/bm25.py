@@ -4,12 +4,13 @@ Documents are indexed where they are read, a bounded number of postings to a sha
 average length and document frequencies are counted over the whole corpus before any query runs, so scores of
 different shards compare and the merged result is that of one index.
 
-Within a shard a query is run by block-max WAND, a block of documents at a time. A query's lists stand in order of their
-bounds. In each block the running sum of the block's maxima in that order finds the pivot: the first list at which the
-sum reaches the k-th best score so far. A document that has no posting at the pivot or after it cannot reach that score
-and is never looked at; if there is no pivot, the cursors of all lists go past the block. Blocks with the highest bounds
-come first, so the score to beat rises soon. Of a block's lists before the pivot postings are read only if a document
-that has others could still make it.
+Within a shard a query is run by block-max WAND, its cursors moving for all documents at once. Lists stand in order of
+their bounds, and the pivot is the first list at which the running sum of bounds reaches the score to beat: a document
+without a posting at the pivot or after it cannot reach that score and is never looked at. What the lists from the pivot
+on bring together is held against the bounds of the lists before it, first those of whole lists, then the maxima of the
+document's block. A block in which that is too little is passed over, and the lists before the pivot are read only for
+what is left. The score to beat is the k-th best of the query in some of the shards, which are visited first, or else
+of the documents that do best by the lists with the highest bounds.
 """
 
 from __future__ import annotations
@@ -28,10 +29,8 @@ from loomgraph.runtime import workers_can_import, written
 K1 = 1.2
 B = 0.75
 #: Postings of a shard, and documents of a block.
-SHARD_POSTINGS = 1_000_000
+SHARD_POSTINGS = 2_000_000
 BLOCK_DOCS = 64
-#: Blocks that are visited first; each step takes four times as many.
-FIRST_BLOCKS = 4
 #: Terms of the queries that visit the shards together; a longer query visits them alone.
 BLOCK_TERMS = 1_000_000
 #: Terms whose frequencies are added up in a task before they are shuffled.
@@ -140,7 +139,7 @@ def _spread(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Shard:
-    """An inverted index in memory, with the bounds of its lists in each block."""
+    """An inverted index in memory, with the bounds of its lists and of their blocks."""
 
     def __init__(self, row: dict[str, bytes], average: float):
         self.ids = np.frombuffer(row["ids"], "<i8")
@@ -148,31 +147,49 @@ class Shard:
         self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
         self.docs = np.frombuffer(row["docs"], "<i4")
         self.n = len(self.ids)
-        #: Blocks that were passed over whole, postings that were read, and those of the queries' lists.
+        #: Blocks with documents of lists from the pivot on that were passed over, postings that were read, and those of
+        #: the queries' lists.
         self.skipped_blocks = self.read = self.listed = 0
         norm = K1 * (1 - B + B * np.frombuffer(row["lengths"], "<i8") / max(average, 1e-9))
         count = np.frombuffer(row["counts"], "<i4")
         self.weight = count * (K1 + 1) / (count + norm[self.docs])
         if len(self.docs):
-            offsets = np.frombuffer(row["offsets"], "<i4").astype(np.int64)
+            self.offsets = np.frombuffer(row["offsets"], "<i4").astype(np.int64)
+            self.most = np.maximum.reduceat(self.weight, self.offsets[:-1])
             opens = np.zeros(len(self.docs), bool)
-            opens[offsets[:-1]] = True
+            opens[self.offsets[:-1]] = True
             block = self.docs // BLOCK_DOCS
             opens[1:] |= block[1:] != block[:-1]
-            # an entry is what a list has in a block: where its postings begin, which block, and the largest weight
+            # an entry is what a list has in a block: its largest weight
             first = np.flatnonzero(opens)
-            self.starts = np.append(first, len(self.docs))
-            self.block, self.most = block[first], np.maximum.reduceat(self.weight, first)
-            self.entries = np.searchsorted(first, offsets)
+            self.block, self.block_most = block[first], np.maximum.reduceat(self.weight, first)
+            self.entries = np.searchsorted(first, self.offsets)
 
-    def _sum(self, entries: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        """Sums of what the postings of some entries give to every document."""
-        at, of = _spread(self.starts[entries], self.starts[entries + 1])
+    def _sum(self, lists: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Sums of what the lists give to every document."""
+        at, of = _spread(self.offsets[lists], self.offsets[lists + 1])
         self.read += len(at)
         return np.bincount(self.docs[at], self.weight[at] * idf[of], self.n)
 
-    def top(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and scores of all that can be among the k best."""
+    def _looked_up(self, lists: np.ndarray, idf: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Sums of what the lists give to some documents."""
+        first, end = self.offsets[lists], self.offsets[lists + 1]
+        if int((end - first).sum()) < 30 * len(lists) * len(docs):
+            return self._sum(lists, idf)[docs]
+        # a binary search for all documents in all lists at once
+        low, high = np.repeat(first, len(docs)), np.repeat(end, len(docs))
+        wanted, last = np.tile(docs, len(lists)), np.repeat(end - 1, len(docs))
+        for _ in range(int((end - first).max()).bit_length()):
+            middle = (low + high) >> 1
+            less = self.docs[np.minimum(middle, last)] < wanted
+            go_on = low < high
+            low, high = np.where(go_on & less, middle + 1, low), np.where(go_on & ~less, middle, high)
+        at = np.minimum(low, last)
+        self.read += len(at)
+        return (np.where((low < np.repeat(end, len(docs))) & (self.docs[at] == wanted), self.weight[at], 0.0) * np.repeat(idf, len(docs))).reshape(len(lists), -1).sum(0)
+
+    def top(self, terms: np.ndarray, idf: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and scores of all that can be among the k best and score ``least`` or more."""
         nothing = np.zeros(0, np.int64), np.zeros(0)
         if not len(self.docs) or not len(terms):
             return nothing
@@ -181,70 +198,67 @@ class Shard:
         lists, idf = at[hit], idf[hit]
         if not len(lists):
             return nothing
-        entry, of = _spread(self.entries[lists], self.entries[lists + 1])
-        bound = idf[of] * self.most[entry]
-        self.listed += int((self.starts[self.entries[lists + 1]] - self.starts[self.entries[lists]]).sum())
-        # lists in ascending order of their bounds, and the running sums of bounds of each block in that order
-        highest = np.zeros(len(lists))
-        np.maximum.at(highest, of, bound)
-        place = np.empty(len(lists), np.int64)
-        place[np.argsort(highest, kind="stable")] = np.arange(len(lists))
-        block = self.block[entry].astype(np.int64)
-        order = np.lexsort((place[of], block))
-        entry, of, bound, block = entry[order], of[order], bound[order], block[order]
-        opens = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        running = np.cumsum(bound)
-        running -= np.repeat(running[opens] - bound[opens], np.diff(np.append(opens, len(block))))
-        limit = np.zeros(-(-self.n // BLOCK_DOCS))
-        limit[block[opens]] = running[np.append(opens[1:], len(block)) - 1]
-        visit = block[opens][np.argsort(-limit[block[opens]], kind="stable")]
-        docs, scores, least = *nothing, 0.0
-        step = FIRST_BLOCKS
-        while len(visit):
-            now, visit = visit[:step], visit[step:]
-            step *= 4
-            chosen = np.zeros(len(limit), bool)
-            chosen[now] = True
-            here = chosen[block]
-            after = here & (running >= least)  # at the pivot or after it
-            sums = self._sum(entry[after], idf[of[after]])
-            rest = np.zeros(len(limit))  # bounds of the lists before the pivot
-            before = here & ~after
-            np.maximum.at(rest, block[before], running[before])
-            found = np.flatnonzero(sums > 0)
-            found = found[sums[found] + rest[found // BLOCK_DOCS] >= least]
-            if len(found) and before.any():
-                open_ = np.zeros(len(limit), bool)
-                open_[found // BLOCK_DOCS] = True
-                before &= open_[block]
-                sums = sums + self._sum(entry[before], idf[of[before]])
-            docs, scores = np.concatenate((docs, found)), np.concatenate((scores, np.round(sums[found], PLACES)))
-            if len(docs) >= k:
-                kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-                docs, scores = docs[scores >= kth], scores[scores >= kth]
-                least = max(0.0, float(kth) - 2 * 10.0**-PLACES)
-                going_on = limit[visit] >= least
-                self.skipped_blocks += int((~going_on).sum())
-                visit = visit[going_on]
-        return docs, scores
+        margin = 2 * 10.0**-PLACES
+        least = max(0.0, least - margin)
+        bound = idf * self.most[lists]
+        order = np.argsort(bound, kind="stable")
+        lists, idf, bound = lists[order], idf[order], bound[order]
+        upto = np.cumsum(bound)
+        lengths = self.offsets[lists + 1] - self.offsets[lists]
+        self.listed += int(lengths.sum())
+        if upto[-1] < least:
+            return nothing
+        if not least:
+            # whole scores of the documents that do best by the lists with the highest bounds
+            few = max(1, int(np.searchsorted(np.cumsum(lengths[::-1]), 8 * k, "right")) + 1)
+            partial = self._sum(lists[-few:], idf[-few:])
+            best = np.argpartition(-partial, min(2 * k, self.n) - 1)[: 2 * k]
+            best = best[partial[best] > 0]
+            if len(best) >= k:
+                scores = partial[best] + (self._looked_up(lists[:-few], idf[:-few], best) if few < len(lists) else 0)
+                least = max(0.0, float(np.partition(scores, len(scores) - k)[len(scores) - k]) - margin)
+        pivot = min(int(np.searchsorted(upto, least)), len(lists) - 1)
+        sums = self._sum(lists[pivot:], idf[pivot:])
+        docs = np.flatnonzero(sums > 0)
+        if pivot:
+            before, idf_before = lists[:pivot], idf[:pivot]
+            docs = docs[sums[docs] + upto[pivot - 1] >= least]
+            if not len(docs):
+                return nothing
+            entry, of = _spread(self.entries[before], self.entries[before + 1])
+            rest = np.bincount(self.block[entry], self.block_most[entry] * idf_before[of], -(-self.n // BLOCK_DOCS))
+            left = docs[sums[docs] + rest[docs // BLOCK_DOCS] >= least]
+            self.skipped_blocks += len(np.unique(docs // BLOCK_DOCS)) - len(np.unique(left // BLOCK_DOCS))
+            docs = left
+            if not len(docs):
+                return nothing
+            scores = sums[docs] + self._looked_up(before, idf_before, docs)
+        else:
+            scores = sums[docs]
+        scores = np.round(scores, PLACES)
+        enough = scores >= least
+        if len(docs) > k:
+            enough &= scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+        return docs[enough], scores[enough]
 
 
 def _visit(shards: DataFrame, queries: pa.Table, average: float, k: int, name: str) -> DataFrame:
-    """(query_id, doc_id, score): what each shard has to offer to a block of queries, as a written table."""
+    """(query_id, doc_id, score): what each shard has to offer to a block of queries (query_id, terms, least), as a
+    written table."""
     lists = queries["terms"].combine_chunks()
     order = queries["query_id"].to_numpy()
     offs = lists.offsets.to_numpy()
     flat = lists.values
     terms, idf = flat.field("term").to_numpy().view(np.uint64), flat.field("idf").to_numpy()
     by = np.concatenate([np.zeros(0, np.int64), *(a + np.argsort(terms[a:b]) for a, b in zip(offs[:-1], offs[1:]))])
-    shared = shards.sparkSession.sparkContext.broadcast((order, offs, terms[by], idf[by]))
+    shared = shards.sparkSession.sparkContext.broadcast((order, offs, terms[by], idf[by], queries["least"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, offs, terms, idf = shared.value
+        query_ids, offs, terms, idf, least = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard({c: batch.column(c)[i].as_py() for c in batch.schema.names}, average)
-                tops = [shard.top(terms[a:b], idf[a:b], k) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+                tops = [shard.top(terms[a:b], idf[a:b], k, t) for a, b, t in zip(offs[:-1].tolist(), offs[1:].tolist(), least.tolist())]
                 if not tops:
                     continue
                 best = np.concatenate([t[0] for t in tops])
@@ -283,13 +297,19 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     weighted = terms.join(df, "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", idf.alias("idf")))).alias("terms"))
     weighted = written(weighted, "bm25-queries")
     n_blocks = max(1, -(-(weighted.agg(F.sum(F.size("terms"))).first()[0] or 0) // BLOCK_TERMS))
+    # some shards first: the k-th best score there is one that the k best of all shards reach, too
+    one_in = max(1, round(statistics.where("length is not null").count() ** 0.5))
+    drawn = F.pmod(F.xxhash64("ids", "vocabulary"), F.lit(one_in)) == 0
+    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     found = None
     for block in range(n_blocks):
-        part = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).toArrow()
-        visit = _visit(shards, part, average, k, f"bm25-found-{block}")
-        found = visit if found is None else found.unionByName(visit)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+        part = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block)
+        first = _visit(shards.where(drawn), part.withColumn("least", F.lit(0.0)).toArrow(), average, k, f"bm25-first-{block}")
+        kth = first.withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") == k).select(F.col("query_id").alias("q"), F.col("score").alias("kth"))
+        part = part.join(kth, F.col("query_id") == F.col("q"), "left").select("query_id", "terms", F.coalesce("kth", F.lit(0.0)).alias("least"))
+        rest = _visit(shards.where(~drawn), part.toArrow(), average, k, f"bm25-rest-{block}")
+        found = first.unionByName(rest) if found is None else found.unionByName(first).unionByName(rest)
+    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
 #: Documents whose ids are divisible by 100 as queries against all documents, in DuckDB.
