@@ -49,7 +49,7 @@ def _terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
         order = np.lexsort((term, row))
         row, term = row[order], term[order]
         new = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (term[1:] != term[:-1]))))
-        yield first, row[new], term[new], np.diff(np.append(new, len(row)))
+        yield first, row[new].astype(np.int32), term[new], np.diff(np.append(new, len(row))).astype(np.int32)
 
 
 SHARD = "ids binary, null_ids binary, lengths binary, vocabulary binary, offsets binary, docs binary, counts binary"
@@ -61,7 +61,7 @@ def build_shards(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def packed(rows: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         ids = pa.concat_arrays([r[0] for r in rows])
         base = np.cumsum([0, *(len(r[0]) for r in rows)])
-        doc = np.concatenate([r[1] + b for r, b in zip(rows, base)])
+        doc = np.concatenate([r[1] + np.int32(b) for r, b in zip(rows, base)])
         term, count = np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])
         lengths = np.bincount(doc, count, len(ids)).astype("<i8")
         order = np.argsort(term, kind="stable")
@@ -86,8 +86,9 @@ def build_shards(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 held.append((batch.column(0).slice(first, n), row, term, count))
                 size += len(row)
                 if size >= SHARD_POSTINGS:
-                    yield packed(held)
+                    shard = packed(held)
                     held, size = [], 0
+                    yield shard
         if held:
             yield packed(held)
 

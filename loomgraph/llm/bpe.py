@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loomgraph.runtime import workers_can_import
 
 #: Pieces that a worker remembers between batches; beyond it the memory is emptied.
-REMEMBERED_PIECES = 500_000
+REMEMBERED_PIECES = 250_000
 #: Bytes of text whose distinct pieces are encoded together.
 BLOCK_BYTES = 16 << 20
 
@@ -268,6 +268,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
                 first += len(block)
+        tools(path, pattern)[2].clear()  # workers outlive their tasks
 
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * with_ids
     return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, schema)

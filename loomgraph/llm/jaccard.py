@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ from loomgraph.runtime import workers_can_import, written
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Occurrences in COUNTED_TOKENS successive tokens of a task from which on a token is reported as common.
-REPORTED = 4
-COUNTED_TOKENS = 3_000_000
+REPORTED = 3
+COUNTED_TOKENS = 1_000_000
 #: Common tokens that are made known to every worker at most; beyond it the mark is raised, which costs time only.
 BROADCAST_TOKENS = 1_000_000
 #: Sets under one token from which on it is frequent.
@@ -280,7 +281,7 @@ def _dealt(docs: DataFrame, taken: frozenset[int], known: tuple[np.ndarray, np.n
     def blobs(nodes: list[int], sets: list[np.ndarray]) -> Iterator[tuple]:
         common, reported = shared.value
         nodes_, sizes = np.array(nodes, np.int64), np.array([len(s) for s in sets])
-        token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
         order = np.argsort(token)
         token, owner = token[order], owner[order]
         if len(common):
@@ -386,7 +387,7 @@ def _indexed(met: DataFrame, n_parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64)]
-        for batch in (*batches, None):
+        for batch in chain(batches, [None]):
             if batch is None:
                 columns, ready = rest, len(rest[0])
             else:
