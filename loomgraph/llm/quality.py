@@ -136,7 +136,7 @@ def assembled(at: np.ndarray, value: np.ndarray, offs: np.ndarray, index: np.nda
     n, m = index.shape
     lengths = np.diff(offs)
     out_offs = np.concatenate(([0], np.cumsum(lengths + m)))
-    out_index, out_value = np.empty(out_offs[-1], np.int64), np.empty(out_offs[-1])
+    out_index, out_value = np.empty(out_offs[-1], np.int32), np.empty(out_offs[-1], np.float32)
     place = np.arange(len(at)) + np.repeat(np.arange(n) * m, lengths)
     out_index[place], out_value[place] = at, value
     place = (out_offs[1:, None] - m + np.arange(m)).ravel()
@@ -257,17 +257,23 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
                 )
 
     kind = sample.schema["__id"].dataType.simpleString()
-    rows = sample.mapInArrow(run, f"id {kind}, label double, at binary, value binary, stats binary").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.id).encode()), r.id, r.stats, r.at))
-    if not rows:
+    rows = sample.mapInArrow(run, f"id {kind}, label double, at binary, value binary, stats binary").toArrow()
+    if not rows.num_rows:
         return Model(None, Scales.fit(np.zeros((0, len(STATISTICS)))))
-    stats = np.stack([np.frombuffer(r.stats, "<f8") for r in rows])
+    ids = rows["id"].to_pylist()
+    rows = rows.take(sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i])))
+
+    def numbers(name: str, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(x.as_buffer() for x in rows[name].combine_chunks()), kind)
+
+    stats = numbers("stats", "<f8").reshape(-1, len(STATISTICS))
     scales = Scales.fit(stats)
-    at = np.frombuffer(b"".join(r["at"] for r in rows), "<i4").astype(np.int64)
-    value = np.frombuffer(b"".join(r["value"] for r in rows), "<f4").astype(np.float64)
-    offs = np.concatenate(([0], np.cumsum([len(r["at"]) // 4 for r in rows])))
+    lengths = np.array([len(x.as_buffer()) // 4 for x in rows["at"].combine_chunks()])
+    label = rows["label"].to_numpy()
+    features = assembled(numbers("at", "<i4"), numbers("value", "<f4"), np.concatenate(([0], np.cumsum(lengths))), *scales.features(stats))
+    del rows
     machine = Machine()
-    machine.learn(*assembled(at, value, offs, *scales.features(stats)), np.array([r["label"] for r in rows]))
+    machine.learn(*features, label)
     return Model(machine, scales)
 
 

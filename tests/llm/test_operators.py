@@ -271,6 +271,52 @@ def test_pairwise_term_in_linear_time():
     assert abs(m._parts(index, value, np.array([0, 3]))[0][0] - plain) < 1e-3
 
 
+def test_scores_equal_a_plain_machine(spark):
+    """Features and scores, end to end, against loops over words and all pairs of features."""
+    import collections
+    import math
+
+    items = [(i, cases.words(30, i).replace("w1", "W1, ") + "\n" + ("JUNK 99 " * (i % 7)) + "\nsame\nsame", "s") for i in range(60)] + [(60, None, "s"), (61, "", "s"), (62, "é. b?", "s")]
+    docs = cases.frame(spark, items)
+    labels = spark.createDataFrame([(i, int(i % 7 == 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = quality.learned(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    machine, scales = model.machine, model.scales
+    for i, t, _ in items:
+        raw = (t or "").encode()
+        found = cases.WORD.findall(raw)
+        lines = raw.split(b"\n") if raw else []
+        lines = lines[:-1] if lines and lines[-1] == b"" else lines
+        hashed = [int(h) >> (64 - quality.WORD_BITS) for w in found for h in [plain_polynomial(w)]]
+        counts = collections.Counter(hashed)
+        norm = math.sqrt(sum(c * c for c in counts.values()))
+        features = {b: c / norm for b, c in counts.items()}
+        size, n = len(raw), len(found)
+        marks = [b for b in range(33, 127) if not chr(b).isalnum()]
+        share = lambda test: sum(map(test, raw)) / max(size, 1)
+        whole = [w + b"\n" if j + 1 < len(lines) or raw.endswith(b"\n") else w for j, w in enumerate(lines)]
+        stats = [
+            math.log1p(len(t or "")), math.log1p(size), math.log1p(n), size / max(n, 1), share(lambda b: 65 <= b < 91), share(lambda b: 48 <= b < 58), share(lambda b: b in marks),
+            share(lambda b: b == 10), share(lambda b: b >= 0xC0), len(counts) / max(math.sqrt(n), 1), max(counts.values(), default=0) / max(n, 1),
+            1 - len(set(whole)) / max(len(lines), 1), math.log1p(size / max(len(lines), 1)), sum(w[-1] in marks for w in found) / max(n, 1),
+        ]
+        m = len(stats)
+        for j, x in enumerate(stats):
+            features[quality.N_WORDS + j] = max(-3, min(3, (x - scales.mean[j]) / scales.spread[j])) / 3
+            features[quality.N_WORDS + m + j * quality.BINS + sum(x >= e for e in scales.edges[j])] = 0.5
+        z = machine.bias + sum(float(machine.linear[f]) * x for f, x in features.items())
+        pairs = list(features.items())
+        v = machine.vectors.astype(float)
+        z += sum(float(v[a] @ v[b]) * x * y for k, (a, x) in enumerate(pairs) for b, y in pairs[k + 1 :])
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-4, i
+
+
+def plain_polynomial(word):
+    """The hash of a word by its definition."""
+    p = sum((b + 1) * pow(text._BASE, k, 1 << 64) for k, b in enumerate(word)) % (1 << 64)
+    return int(text.mix(np.array([p], np.uint64))[0])
+
+
 # --- archives
 
 
