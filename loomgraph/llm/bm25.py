@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.text import chunks, lower, word_hashes, words
-from loomgraph.runtime import workers_can_import, written
+from loomgraph.runtime import lean, workers_can_import, written
 
 #: The usual parameters of BM25.
 K1 = 1.2
@@ -78,6 +78,7 @@ def build_shards(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], [c.split()[0] for c in SHARD.split(", ")])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -104,6 +105,7 @@ def _statistics(shards: DataFrame) -> DataFrame:
         df = np.bincount(at, np.concatenate([n for _, n in held]), len(term)).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(term), pa.array(df), pa.nulls(len(term), pa.int64())], names)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -124,6 +126,7 @@ def _statistics(shards: DataFrame) -> DataFrame:
 
 
 def _query_terms(queries: DataFrame) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, row, term, _ in _terms(batch.column(1)):
@@ -254,6 +257,7 @@ def _visit(shards: DataFrame, queries: pa.Table, average: float, k: int, name: s
     by = np.concatenate([np.zeros(0, np.int64), *(a + np.argsort(terms[a:b]) for a, b in zip(offs[:-1], offs[1:]))])
     shared = shards.sparkSession.sparkContext.broadcast((order, offs, terms[by], idf[by], queries["least"].to_numpy()))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, offs, terms, idf, least = shared.value
         for batch in batches:

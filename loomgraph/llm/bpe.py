@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.runtime import workers_can_import
+from loomgraph.runtime import lean, workers_can_import
 
 #: Pieces that a worker remembers between batches; beyond it the memory is emptied.
 REMEMBERED_PIECES = 250_000
 #: Bytes of text whose distinct pieces are encoded together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 NONE = np.int32(1 << 30)
 
@@ -251,6 +251,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_
     workers_can_import(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first = 0

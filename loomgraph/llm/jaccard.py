@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.components import connected_components
 from loomgraph.llm.text import chunks, lower, mix, word_hashes, words
-from loomgraph.runtime import workers_can_import, written
+from loomgraph.runtime import lean, workers_can_import, written
 
 #: Words of a shingle, and the least similarity of a link as a fraction.
 SHINGLE = 5
@@ -115,6 +115,7 @@ def _scan(docs: DataFrame, taken: frozenset[int]) -> DataFrame:
         token, seen = pa.array(token[often].view(np.int64)), pa.array(seen[often].astype(np.int64))
         return pa.RecordBatch.from_arrays([*[pa.nulls(len(token), pa.int64())] * 5, token, seen], names)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         of_batch: set[int] = set()
@@ -307,6 +308,7 @@ def _dealt(docs: DataFrame, taken: frozenset[int], known: tuple[np.ndarray, np.n
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], [c.split()[0] for c in BLOB.split(", ")])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         nodes: list[int] = []
@@ -360,6 +362,7 @@ def _met(dealt: DataFrame, n_parts: int) -> DataFrame:
     def rows_of(node: np.ndarray, size: np.ndarray, token: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(size.astype(np.int32)), pa.array(token.view(np.int64)), pa.array(count.astype(np.int64))], ["node", "n", "token", "count"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
@@ -385,6 +388,7 @@ def _indexed(met: DataFrame, n_parts: int) -> DataFrame:
     names = ["node", "n", "tokens", "bits", "keys", "short"]
     long_list, bool_list = pa.list_(pa.int64()), pa.list_(pa.bool_())
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64)]
         for batch in chain(batches, [None]):

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.text import chunks, runs, word_hashes, words
-from loomgraph.runtime import workers_can_import
+from loomgraph.runtime import lean, workers_can_import
 
 #: Anchors that occur more often are dealt out window by window.
 HOT_OCCURRENCES = 1_000
@@ -67,6 +67,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     """(__id, __hash, __packed): texts compressed for the shuffle."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -96,6 +97,7 @@ def _anchors(docs: DataFrame, kind: Windows) -> DataFrame:
     """(anchor, times, ids, marks): the anchors of each batch once, with the keys of the documents that have them: ids
     (null: 0) and marks."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = [], []
@@ -132,6 +134,7 @@ def _anchors(docs: DataFrame, kind: Windows) -> DataFrame:
 def _listed(shared: DataFrame) -> DataFrame:
     """(id, mark, anchor, hot) of every document of every row."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
@@ -201,6 +204,7 @@ def _cut(docs: DataFrame, kind: Windows) -> DataFrame:
             else:
                 into[key] = [place]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into: dict[tuple, list[bytes]] = {}
         size = 0
@@ -249,6 +253,7 @@ SPANS = "no_id boolean, id bigint, hash bigint, spans array<bigint>"
 def _judged(found: DataFrame, judge: Judge, judge_windows: Judge, n_shards: int) -> DataFrame:
     """SPANS of window starts that go, by document: one row or more for each that has any."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged: tuple[dict, dict] = ({}, {})
         pieces_of: Counter[int] = Counter()
@@ -302,6 +307,7 @@ def removed_from(docs: DataFrame, id_col: str, text_col: str, kind: Windows, jud
     ready = texts.join(found, ["id", "mark"], "left").select("__id", "__hash", "__packed", "spans")
     names = [id_col, *(c.split()[0] for c in schema.split(", "))]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.text import chunks, prefix_sums, span_hash, unused, words
-from loomgraph.runtime import workers_can_import
+from loomgraph.runtime import lean, workers_can_import
 
 #: Buckets of hashed words, and components of a feature's vector.
 WORD_BITS = 16
@@ -240,6 +240,7 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     one = F.min(F.struct(F.xxhash64("__text").alias("h"), "__text", "__chars", "__label")).alias("one")
     sample = sample.groupBy("__id").agg(one).select("__id", "one.__text", "one.__chars", "one.__label")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chars = batch.column(2).to_numpy(zero_copy_only=False)
@@ -287,6 +288,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     workers_can_import(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = shared.value.score(batch.column(1), batch.column(2).to_numpy(zero_copy_only=False))
@@ -309,6 +311,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", chars_col: s
     own = docs.schema
     chars = F.col(chars_col).cast("double") if chars_col in docs.columns else F.lit(None).cast("double")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_columns
