@@ -25,7 +25,7 @@ from loomgraph.runtime import lean, workers_can_import
 #: Pieces that a worker remembers between batches; beyond it the memory is emptied.
 REMEMBERED_PIECES = 250_000
 #: Bytes of text whose distinct pieces are encoded together.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 NONE = np.int32(1 << 30)
 
