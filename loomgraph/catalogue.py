@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph import catalogue_code
 from loomgraph.functions.text import snippet
 from loomgraph.operators import crossrepo, maintain, nearest, resolve, retrieve, rollup, search, traverse
 from loomgraph.plans.star import EDGES_SQL, PAGES_SQL, SYMBOLS_SQL, Star, document_lines, page_languages, page_references, page_symbols, table
@@ -504,8 +505,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **catalogue_code.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {**_SQL, **catalogue_code.oracle_sql()}

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.maintain import upsert
+from loomgraph.operators.traverse import reach
+from loomgraph.runtime import checkpointed
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -39,3 +41,12 @@ def combined(structural: DataFrame, semantic: DataFrame, k: int = 20, constant:
     """(id, score): both rankings (id, rank) merged by the sum of reciprocal ranks, best first, ties by id."""
     both = structural.select("id", "rank").unionByName(semantic.select("id", "rank"))
     return both.groupBy("id").agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
+
+
+def semantic_context(symbols: DataFrame, edges: DataFrame, vectors: DataFrame, query: Sequence[float], k: int = 10, depth: int = 1) -> DataFrame:
+    """The k symbols whose vectors are most similar to ``query``, and what surrounds them within ``depth`` steps either
+    way: the symbols' columns, depth (0 for the k themselves) and similarity (null for the rest)."""
+    seeds = checkpointed(nearest(vectors, query, k))
+    near = reach(edges, seeds.select("id"), "both", depth).select("id", "depth").join(seeds, "id", "left_anti").groupBy("id").agg(F.min("depth").alias("depth"))
+    found = seeds.select("id", F.lit(0).alias("depth"), "similarity").unionByName(near.select("id", "depth", F.lit(None).cast("double").alias("similarity")))
+    return symbols.join(found, "id")

@@ -227,6 +227,10 @@ def _word_end(text: str, start: int, name: str) -> int:
     return len(text)
 
 
+#: What follows the opening parenthesis of a declared member.
+_DECLARED = re.compile(r"[^()]*\)\s*:")
+
+
 def read_by_patterns(text: str, language: Language) -> Found:
     """What a text defines and uses, by the language's patterns."""
     code, with_strings = blanked(text, language), blanked(text, language, strings=False)
@@ -248,12 +252,14 @@ def read_by_patterns(text: str, language: Language) -> Found:
 
     found = Found()
     taken: set[int] = set()
+    headers: list[tuple[int, int, object]] = []
     for pattern in language.classes:
         for m in re.finditer(pattern, code, re.M):
             at = m.start("name")
             if at in taken:
                 continue
             taken.add(at)
+            headers.append((m.start(), m.end(), True))
             start, end = extent(m)
             groups = m.groupdict()
             bases = [b for b in (re.sub(r"[<(\[].*", "", part).strip().split(" ")[-1] for part in re.split(r"[,+]|\bwith\b|\bimplements\b", groups.get("bases") or "")) if re.fullmatch(r"[\w.:\\$]+", b)]
@@ -274,14 +280,22 @@ def read_by_patterns(text: str, language: Language) -> Found:
             found.imports.append((m.start("module"), line(m.start("module")), m["module"]))
             spans.append((m.start(), m.end()))
     found.imports.sort()
-    inside_import = _Ranges([(a, b, True) for a, b in spans])
+    inside_import, inside_header = _Ranges([(a, b, True) for a, b in spans]), _Ranges(headers)
+    inside_class, inside_function = (_Ranges([(f[0], f[1], True) for f in g]) for g in (found.classes, found.functions))
+
+    def signature(m: re.Match) -> bool:
+        """Whether a member is declared rather than called: parentheses and a type, in a class but no function."""
+        if not inside_class.innermost(m.start()) or inside_function.innermost(m.start()):
+            return False
+        return _DECLARED.match(code, m.end()) is not None
+
     if language.bare:
         calls = re.finditer(r"(?:^|[;|&(]|\bthen\b|\bdo\b)[ \t]*(?P<callee>[A-Za-z_][\w-]*)(?![\w-]*\s*(?:=|\(\)))", code, re.M)
     else:
         calls = re.finditer(r"(?:(?P<receiver>[A-Za-z_$][\w$]*(?:(?:\.|::|->|\?\.)[A-Za-z_$][\w$]*)*)\s*(?:\.|::|->|\?\.|:)\s*)?(?P<callee>[A-Za-z_$][\w$]*[?!]?)\s*\(", code)
     for m in calls:
         callee, at = m["callee"], m.start("callee")
-        if callee in NOT_CALLS or callee in language.words or at in taken or inside_import.innermost(at):
+        if callee in NOT_CALLS or callee in language.words or at in taken or inside_import.innermost(at) or inside_header.innermost(at) or signature(m):
             continue
         receiver = (m.groupdict().get("receiver") or "").replace("this", "self") if language.receivers else ""
         if not receiver and not language.plain:
