@@ -122,7 +122,7 @@ def _register_neighbors() -> None:
 
         def run(spark: SparkSession, sf_dir: str, root: str = root, direction: str = direction, depth: int = depth) -> DataFrame:
             star = Star(spark, sf_dir)
-            return traverse.neighbors(star.symbols(), star.edges(), root, direction, depth).select("id", "name", "kind", "depth")
+            return traverse.neighbors(star.symbols(), star.edges(once=False), root, direction, depth).select("id", "name", "kind", "depth")
 
         query(name, f"{_walk(root, direction, depth)} select n.id, g.name, g.kind, n.depth from n join g on g.id = n.id")(run)
 
@@ -133,7 +133,7 @@ _register_neighbors()
 @query("induced_edges_both_d2", f"{_walk('c7', 'both', 2)}, x as (select id from n union select 'c7') select source, target, kind from e where source in (select id from x) and target in (select id from x)")
 def _induced(spark: SparkSession, sf_dir: str) -> DataFrame:
     star = Star(spark, sf_dir)
-    return traverse.subgraph(star.symbols(), star.edges(), "c7", "both", 2).edges
+    return traverse.subgraph(star.symbols(), star.edges(once=False), "c7", "both", 2).edges
 
 
 def _paths(source: str, target: str, longest: int = 6) -> str:
@@ -151,7 +151,7 @@ def _register_paths() -> None:
     for name, source, target in (("shortest_path_hit", "o7", "r1"), ("shortest_path_none", "n3", "o7"), ("shortest_path_self", "c7", "c7")):
 
         def run(spark: SparkSession, sf_dir: str, source: str = source, target: str = target) -> DataFrame:
-            return _trail(traverse.shortest_path(Star(spark, sf_dir).edges(), source, target))
+            return _trail(traverse.shortest_path(Star(spark, sf_dir).edges(once=False), source, target))
 
         query(name, f"{_paths(source, target)} select array_to_string(trail, '>') as trail, (len(trail) - 1)::bigint as hops from best")(run)
 
@@ -163,13 +163,13 @@ _register_paths()
 def _chain_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     star = Star(spark, sf_dir)
     symbols = star.symbols()
-    trail = retrieve.chain_between(symbols, star.edges(), "order_7", "AMERICA")
+    trail = retrieve.chain_between(symbols, star.edges(once=False), "order_7", "AMERICA")
     return traverse.chain(symbols, trail).select("pos", "id", "name", "kind")
 
 
 @query("chain_kinds", f"{_paths('o7', 'n3').replace('on e.source = t.id where', chr(10) + 'on e.source = t.id where e.kind in (' + repr('calls') + ', ' + repr('references') + ') and')} select array_to_string(trail, '>') as trail, (len(trail) - 1)::bigint as hops from best")
 def _chain_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trail(traverse.shortest_path(Star(spark, sf_dir).edges(), "o7", "n3", kinds=["calls", "references"]))
+    return _trail(traverse.shortest_path(Star(spark, sf_dir).edges(once=False), "o7", "n3", kinds=["calls", "references"]))
 
 
 # --- composite queries ----------------------------------------------------------------------------------------------
@@ -180,7 +180,7 @@ _TOP = f"top as (select n.id, g.name, g.kind, n.depth from (select id from g whe
 
 def _context(spark: SparkSession, sf_dir: str, limit: int | None):
     star = Star(spark, sf_dir)
-    return retrieve.context(star.symbols(), star.edges(), None, "Customer#000000007", depth=2, limit=limit)
+    return retrieve.context(star.symbols(), star.edges(once=False), None, "Customer#000000007", depth=2, limit=limit)
 
 
 @query("context_d2", f"{_walk('c7', 'both', 2)} select n.id, g.name, g.kind, n.depth from n join g on g.id = n.id")
@@ -204,13 +204,13 @@ _DEPENDENTS = f"{_GRAPH}, d as (select a.id as root, a.name as root_name, b.id,
 @query("dependents_file_d1", f"{_DEPENDENTS} select root, root_name, id, name, depth::int as depth, rank from d")
 def _dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
     star = Star(spark, sf_dir)
-    return retrieve.dependents(star.symbols(), star.edges(), "nation/3").select("root", "root_name", "id", "name", "depth", "rank")
+    return retrieve.dependents(star.symbols(), star.edges(once=False), "nation/3").select("root", "root_name", "id", "name", "depth", "rank")
 
 
 @query("dependents_limit2_per_symbol", f"{_DEPENDENTS} select root, root_name, id, name, depth::int as depth, rank from d where rank <= 2")
 def _dependents_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     star = Star(spark, sf_dir)
-    return retrieve.dependents(star.symbols(), star.edges(), "nation/3", limit=2).select("root", "root_name", "id", "name", "depth", "rank")
+    return retrieve.dependents(star.symbols(), star.edges(once=False), "nation/3", limit=2).select("root", "root_name", "id", "name", "depth", "rank")
 
 
 _LINES_SQL = r"l as (select doc_id, case when coalesce(text, '') = '' then [] else string_split(regexp_replace(text, '\r?\n', chr(10), 'g'), chr(10)) end as v from documents), m as (select doc_id, case when len(v) > 0 and v[-1] = '' then v[:-2] else v end as v from l)"
@@ -500,7 +500,7 @@ def _combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The neighbourhood of one customer."""
     star = Star(spark, sf_dir)
-    found = retrieve.context(star.symbols(), star.edges(), None, "Customer#000000007", depth=2)
+    found = retrieve.context(star.symbols(), star.edges(once=False), None, "Customer#000000007", depth=2)
     return traverse.in_order(found.neighbors).select(*_NODE, "depth")
 
 

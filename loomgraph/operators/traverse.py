@@ -36,16 +36,18 @@ def reach(edges: DataFrame, roots: DataFrame, direction: Direction | str = Direc
     """(root, id, depth): what walks of 1 to ``depth`` steps lead to from each root, with the least number of steps.
 
     ``roots`` has a column ``id``; all roots are followed in one traversal. Depth 0 is as depth 1. A root is not
-    excluded: it is among its own neighbours where a walk leads back to it.
+    excluded: it is among its own neighbours where a walk leads back to it. Edges may repeat, so they need not be made
+    distinct first; then a small frontier meets them where they are read.
     """
     steps = adjacency(edges, direction, kinds)
     frontier = checkpointed(roots.select(F.col("id").alias("root"), "id").distinct())
     rows = frontier.count()
     levels: list[DataFrame] = []
+    seen, total = None, 0
     for level in range(1, max(depth, 1) + 1):
         ahead = steps.join(_small(frontier, rows), F.col("here") == F.col("id")).select("root", F.col("there").alias("id")).distinct()
-        for seen in levels:
-            ahead = ahead.join(seen.select("root", "id"), ["root", "id"], "left_anti")
+        if seen is not None:
+            ahead = ahead.join(_small(seen, total), ["root", "id"], "left_anti")
         new = ahead.withColumn("depth", F.lit(level))
         if level == max(depth, 1):  # the last level is left to the query that uses it
             levels.append(new)
@@ -56,6 +58,7 @@ def reach(edges: DataFrame, roots: DataFrame, direction: Direction | str = Direc
             break
         levels.append(new)
         frontier = new.select("root", "id")
+        seen, total = (frontier if seen is None else seen.unionByName(frontier)), total + rows
     if not levels:
         return frontier.select("root", "id", F.lit(1).alias("depth")).limit(0)
     out = levels[0]
@@ -109,20 +112,18 @@ def shortest_path(edges: DataFrame, source: str, target: str, kinds: Sequence[st
         return spark.createDataFrame([([source],)], "trail array<string>")
     steps = adjacency(edges, Direction.OUTGOING, kinds)
     frontier = spark.createDataFrame([(source, [source])], "id string, trail array<string>")
-    seen = [frontier.select("id")]
-    rows, length = 1, 0
+    seen = frontier.select("id")
+    rows, total, length = 1, 1, 0
     while rows and (longest is None or length < longest):
         ahead = steps.join(_small(frontier, rows), F.col("here") == F.col("id")).select(F.col("there").alias("id"), F.concat("trail", F.array("there")).alias("trail"))
         ahead = ahead.groupBy("id").agg(F.min("trail").alias("trail"))
-        for level in seen:
-            ahead = ahead.join(level, "id", "left_anti")
-        frontier = checkpointed(ahead)
+        frontier = checkpointed(ahead.join(_small(seen, total), "id", "left_anti"))
         length += 1
         counts = frontier.agg(F.count(F.lit(1)), F.count(F.when(F.col("id") == target, 1))).first()
         rows = counts[0]
         if counts[1]:
             return frontier.where(F.col("id") == target).select("trail")
-        seen.append(frontier.select("id"))
+        seen, total = seen.unionByName(frontier.select("id")), total + rows
     return frontier.select("trail").limit(0)
 
 

@@ -44,14 +44,17 @@ class Star:
             out = out.unionByName(p)
         return out
 
-    def edges(self) -> DataFrame:
+    def edges(self, once: bool = True) -> DataFrame:
+        """All edges; unless ``once``, those of a repeated pair as often as it is, which a traversal can do with."""
+
         def link(name: str, a: str, x: str, b: str, y: str, kind: str) -> DataFrame:
             return table(self.spark, self.sf_dir, name).select(
                 F.concat(F.lit(a), F.col(x).cast("string")).alias("source"), F.concat(F.lit(b), F.col(y).cast("string")).alias("target"), F.lit(kind).alias("kind")
             )
 
         # keys of the small tables are unique; only pairs of lineitem repeat
-        lines = link("lineitem", "o", "l_orderkey", "p", "l_partkey", "imports").unionByName(link("lineitem", "p", "l_partkey", "s", "l_suppkey", "inherits")).distinct()
+        lines = link("lineitem", "o", "l_orderkey", "p", "l_partkey", "imports").unionByName(link("lineitem", "p", "l_partkey", "s", "l_suppkey", "inherits"))
+        lines = lines.distinct() if once else lines
         return (
             link("nation", "n", "n_nationkey", "r", "n_regionkey", "typeof")
             .unionByName(link("customer", "c", "c_custkey", "n", "c_nationkey", "references"))
