@@ -45,11 +45,13 @@ BROADCAST_TOKENS = 1_000_000
 FREQUENT = 32
 #: Tokens of a set for each part of the frequent tokens.
 TOKENS_PER_PART = 16
-#: Tokens that are counted at a time, and the partitions of the shuffle that brings them together at most.
+#: Tokens that are counted at a time, how many such parts a partition has one after another, and the partitions of the
+#: shuffle that brings them together at most.
 PART_TOKENS = 1_000_000
+PARTS_IN_TURN = 4
 MOST_PARTITIONS = 20_000
 #: Rounds that compare each set with one for each key.
-ROUNDS = 3
+ROUNDS = 2
 #: Bits of a bitmap for each token, and the longs of the short bitmaps that are compared under every key.
 BITS = 4
 SHORT = 16
@@ -336,6 +338,10 @@ def _dealt(docs: DataFrame, taken: frozenset[int], known: tuple[np.ndarray, np.n
     return docs.mapInArrow(run, BLOB)
 
 
+def _partitions(n_parts: int) -> int:
+    return max(1, min(-(-n_parts // PARTS_IN_TURN), MOST_PARTITIONS))
+
+
 def _met(dealt: DataFrame, n_parts: int) -> DataFrame:
     """(node, n, token, count) of the tokens that two sets or more have. Parts come one after another in a partition."""
 
@@ -378,8 +384,7 @@ def _met(dealt: DataFrame, n_parts: int) -> DataFrame:
         if held:
             yield from counted(held)
 
-    partitions = max(1, min(n_parts, MOST_PARTITIONS))
-    return dealt.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(run, "node bigint, n int, token bigint, count bigint")
+    return dealt.repartition(_partitions(n_parts), "part").sortWithinPartitions("part").mapInArrow(run, "node bigint, n int, token bigint, count bigint")
 
 
 def _indexed(met: DataFrame, n_parts: int) -> DataFrame:
@@ -411,7 +416,7 @@ def _indexed(met: DataFrame, n_parts: int) -> DataFrame:
                 kinds = [pa.int64(), pa.int32(), long_list, long_list, long_list, bool_list]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names)
 
-    sorted_ = met.repartition(max(1, min(n_parts, MOST_PARTITIONS)), "node").sortWithinPartitions("node")
+    sorted_ = met.repartition(_partitions(n_parts), "node").sortWithinPartitions("node")
     return sorted_.mapInArrow(run, "node bigint, n int, tokens array<bigint>, bits array<bigint>, keys array<bigint>, short array<boolean>")
 
 
@@ -447,7 +452,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """The links among candidate pairs, as a written table."""
-    return written(verified(written(close(pairs, sets), f"{name}-close"), sets), name)
+    return written(verified(close(pairs, sets), sets), name)
 
 
 def _labelled(frame: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -530,7 +535,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         more = _links(pairs, sets, f"jaccard-links-{turn}")
         links = more if links is None else links.unionByName(more)
         if not more.isEmpty():
-            found = written(connected_components(links), f"jaccard-components-{turn}")
+            found = connected_components(links)
 
     placed = _labelled(nodes.select("node", F.col("first.__id").alias("least")), found)
     smallest = placed.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "c")
