@@ -35,6 +35,8 @@ from loomgraph.runtime import lean, workers_can_import
 
 #: Anchors that occur more often are dealt out window by window.
 HOT_OCCURRENCES = 1_000
+#: Partitions of the shuffle that brings the pieces of a shard together at most; a task takes its shards one by one.
+MOST_PARTITIONS = 20_000
 
 #: Where a piece stands: a document's key (its id, or no_id and 0, and its text's hash) and the first unit.
 PLACE = np.dtype([("no_id", "u1"), ("id", "<i8"), ("hash", "<i8"), ("start", "<i8")])
@@ -195,7 +197,7 @@ def _cut(docs: DataFrame, kind: Windows) -> DataFrame:
             contents = (raw[s:e] for s, e in zip(start.tolist(), stops.tolist()))
         for i, (content, a, m, single) in enumerate(zip(contents, anchor.tolist(), n.tolist(), each.tolist())):
             if single:
-                content = hashlib.md5(content, usedforsecurity=False).digest()
+                content = hashlib.blake2b(content, digest_size=20).digest()
                 a = int.from_bytes(content[:8], "little", signed=True)
             key = (content, a, m, single)
             place = packed_places[i * size : (i + 1) * size]
@@ -257,12 +259,19 @@ def _judged(found: DataFrame, judge: Judge, judge_windows: Judge, n_shards: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged: tuple[dict, dict] = ({}, {})
         pieces_of: Counter[int] = Counter()
+        now = None
         for batch in batches:
-            for anchor, n, whole, content, places in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for anchor, n, whole, content, places, number in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if number != now:
+                    yield from decided(merged, pieces_of)
+                    merged, pieces_of, now = ({}, {}), Counter(), number
                 if content not in merged[whole]:
                     merged[whole][content] = [n, [], anchor]
                     pieces_of[anchor] += not whole
                 merged[whole][content][1].append(places)
+        yield from decided(merged, pieces_of)
+
+    def decided(merged: tuple[dict, dict], pieces_of: Counter[int]) -> Iterator[pa.RecordBatch]:
         spans: dict[tuple, list[int]] = {}
         for whole, decide in ((False, judge), (True, judge_windows)):
             held = merged[whole]
@@ -286,7 +295,8 @@ def _judged(found: DataFrame, judge: Judge, judge_windows: Judge, n_shards: int)
                 ["no_id", "id", "hash", "spans"],
             )
 
-    return found.repartition(n_shards, "anchor").mapInArrow(run, SPANS)
+    numbered = found.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)))
+    return numbered.repartition(min(n_shards, MOST_PARTITIONS), "shard").sortWithinPartitions("shard").mapInArrow(run, SPANS)
 
 
 def removed_from(docs: DataFrame, id_col: str, text_col: str, kind: Windows, judges: tuple[Judge, Judge], schema: str, finish: Callable[[bytes, list[int]], tuple]) -> DataFrame:
