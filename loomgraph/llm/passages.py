@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.text import chunks, runs, word_hashes, words
-from loomgraph.runtime import lean, workers_can_import
+from loomgraph.llm.text import anchor_hashes, chunks, runs, words
+from loomgraph.runtime import workers_can_import
 
 #: Anchors that occur more often are dealt out window by window.
 HOT_OCCURRENCES = 1_000
@@ -57,7 +57,7 @@ class Windows:
             at = np.arange(len(data))
             return data.astype(np.uint64) + np.uint64(1), offs, at, at + 1
         starts, ends, word_offs = words(data, offs)
-        return word_hashes(data, starts, ends), word_offs, starts, ends
+        return anchor_hashes(data, starts, ends), word_offs, starts, ends
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -69,7 +69,6 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     """(__id, __hash, __packed): texts compressed for the shuffle."""
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -99,7 +98,6 @@ def _anchors(docs: DataFrame, kind: Windows) -> DataFrame:
     """(anchor, times, ids, marks): the anchors of each batch once, with the keys of the documents that have them: ids
     (null: 0) and marks."""
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = [], []
@@ -136,7 +134,6 @@ def _anchors(docs: DataFrame, kind: Windows) -> DataFrame:
 def _listed(shared: DataFrame) -> DataFrame:
     """(id, mark, anchor, hot) of every document of every row."""
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
@@ -206,7 +203,6 @@ def _cut(docs: DataFrame, kind: Windows) -> DataFrame:
             else:
                 into[key] = [place]
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into: dict[tuple, list[bytes]] = {}
         size = 0
@@ -255,7 +251,6 @@ SPANS = "no_id boolean, id bigint, hash bigint, spans array<bigint>"
 def _judged(found: DataFrame, judge: Judge, judge_windows: Judge, n_shards: int) -> DataFrame:
     """SPANS of window starts that go, by document: one row or more for each that has any."""
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged: tuple[dict, dict] = ({}, {})
         pieces_of: Counter[int] = Counter()
@@ -295,8 +290,10 @@ def _judged(found: DataFrame, judge: Judge, judge_windows: Judge, n_shards: int)
                 ["no_id", "id", "hash", "spans"],
             )
 
+    if n_shards <= MOST_PARTITIONS:  # a partition is a shard
+        return found.withColumn("shard", F.lit(0).cast("long")).repartition(n_shards, "anchor").mapInArrow(run, SPANS)
     numbered = found.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)))
-    return numbered.repartition(min(n_shards, MOST_PARTITIONS), "shard").sortWithinPartitions("shard").mapInArrow(run, SPANS)
+    return numbered.repartition(MOST_PARTITIONS, "shard").sortWithinPartitions("shard").mapInArrow(run, SPANS)
 
 
 def removed_from(docs: DataFrame, id_col: str, text_col: str, kind: Windows, judges: tuple[Judge, Judge], schema: str, finish: Callable[[bytes, list[int]], tuple]) -> DataFrame:
@@ -317,7 +314,6 @@ def removed_from(docs: DataFrame, id_col: str, text_col: str, kind: Windows, jud
     ready = texts.join(found, ["id", "mark"], "left").select("__id", "__hash", "__packed", "spans")
     names = [id_col, *(c.split()[0] for c in schema.split(", "))]
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

@@ -153,6 +153,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
+def anchor_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A faster hash of each word, for what only picks candidates: words of a certain structure collide."""
+    return span_hash(prefix_sums(data.astype(np.uint64) + np.uint64(1)), starts, ends)
+
+
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` consecutive keys."""
     have, out = 1, keys

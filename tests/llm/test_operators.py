@@ -195,9 +195,11 @@ def test_sharding(spark, odd, empty):
 # --- phrases
 
 
-@pytest.mark.parametrize("hot", [1, 1_000])
-def test_phrase_dedup(spark, odd, empty, monkeypatch, hot):
+@pytest.mark.parametrize("hot,partitions", [(1, 20_000), (1_000, 20_000), (1_000, 2), (1, 2)])
+def test_phrase_dedup(spark, odd, empty, monkeypatch, hot, partitions):
     monkeypatch.setattr(passages, "HOT_OCCURRENCES", hot)
+    monkeypatch.setattr(passages, "MOST_PARTITIONS", partitions)  # several shards in one partition
+    monkeypatch.setattr(phrases, "SHARD_BYTES", 20_000)
     rows = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrases.phrase_dedup(odd).collect() if r.doc_id is not None}
     known = [(i, t) for i, t, _ in cases.odd_texts() if i is not None]
     for (i, _), want in zip(known, cases.plain_phrases(known, phrases.WINDOW)):
