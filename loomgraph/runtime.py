@@ -96,13 +96,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: a reliable cut of the lineage whose columns
     can be read one by one. Unlike a checkpoint it survives the loss of every executor and costs no reread of
-    unused columns."""
+    unused columns. ``few_files`` is for tables much narrower than what they are made from: their rows are shuffled
+    into partitions of the size that Spark advises, instead of a small file for each task."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df.hint("rebalance") if few_files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
