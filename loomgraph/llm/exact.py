@@ -182,6 +182,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = written(
         docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), 256)).alias("digest")),
         "digests",
+        few_files=True,
     )
     middle, count = rows.agg(F.percentile_approx("id", 0.5, 1000), F.count(F.lit(1))).first()
     middle = 0 if middle is None else middle

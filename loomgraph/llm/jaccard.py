@@ -150,7 +150,7 @@ def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[int]]:
     """What _scan returns, the distinct sets, and the names that two sets would share and neither has."""
     taken: frozenset[int] = frozenset()
     while True:
-        scanned = written(_scan(docs, taken), "jaccard-documents")
+        scanned = written(_scan(docs, taken), "jaccard-documents", few_files=True)
         nodes = written(
             scanned.where("n > 0")
             .groupBy("node")

@@ -132,6 +132,7 @@ def planned(
             document_hash(F.col(id_col), F.col(text_col), seed).alias("__hash"),
         ),
         "mixture",
+        few_files=True,
     )
     sizes = rows.groupBy("__source").agg(F.sum("__size").alias("__total"))
     whole = F.when(F.col("__total") > 0, F.floor(F.col("__target") / F.col("__total"))).otherwise(F.lit(0))
