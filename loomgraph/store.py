@@ -2,7 +2,8 @@
 
 A store holds one folder for each repository and branch. Every commit writes all tables to a new version's folder and
 then replaces a small pointer, so readers see a whole version or the one before, and a failed commit leaves no trace
-that anyone reads. Tables are laid out for the queries: symbols by file and name, edges by source.
+that anyone reads. Tables are laid out for the queries: symbols by file and name, edges by source; each file of a table
+holds a range of its own, so that a read by these columns skips the others.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ TABLES: dict[str, T.StructType] = {
     "files": FILES,
     "annotations": ANNOTATIONS,
 }
-#: How rows of a table are sorted, for row-group statistics.
+#: By which columns rows of a table are dealt into ranges and sorted, for the statistics of files and row groups.
 LAYOUT = {"symbols": ["file_path", "name"], "edges": ["source"], "raw_edges": ["file_path"], "files": ["path"], "annotations": ["symbol_id"]}
 #: Versions that are kept besides the current one.
 KEPT = 1
@@ -71,7 +72,7 @@ class Store:
         for name, schema in TABLES.items():
             frame = tables.get(name, old[name])
             frame = frame.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-            frame.sortWithinPartitions(*LAYOUT[name]).write.mode("overwrite").parquet(f"{self.folder}/v={new}/{name}")
+            frame.repartitionByRange(*LAYOUT[name]).sortWithinPartitions(*LAYOUT[name]).write.mode("overwrite").parquet(f"{self.folder}/v={new}/{name}")
         self._point(new)
         for stale in range(1, new - KEPT):
             fs.delete(self._path(f"v={stale}"), True)
