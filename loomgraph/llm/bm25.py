@@ -31,8 +31,20 @@ B = 0.75
 #: Postings of a shard, and documents of a block.
 SHARD_POSTINGS = 2_000_000
 BLOCK_DOCS = 64
+#: Groups of a shard at most, documents of one on average at least, and frequent words that tell groups apart.
+MOST_GROUPS = 8
+GROUP_DOCS = 750
+GROUP_WORDS = 512
+#: A list is a column of its group's matrix if it has so many of the group's documents: one in so many, and at least so
+#: many.
+COLUMN_ONE_IN = 24
+COLUMN_DOCS = 64
+#: A group's matrix is used if so many queries at least ask the group; for fewer, the pivot may be at any list.
+MATRIX_QUERIES = 8
+#: Cells of queries by documents that are worked on together.
+CELLS = 1 << 20
 #: Terms of the queries that visit the shards together; a longer query visits them alone.
-BLOCK_TERMS = 1_000_000
+BLOCK_TERMS = 3_000_000
 #: Terms whose frequencies are added up in a task before they are shuffled.
 COUNTED_TERMS = 2_000_000
 #: Scores are compared at so many decimal places; ties go to the smaller id.
@@ -52,7 +64,29 @@ def _terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
         yield first, row[new].astype(np.int32), term[new], np.diff(np.append(new, len(row))).astype(np.int32)
 
 
-SHARD = "ids binary, null_ids binary, lengths binary, vocabulary binary, offsets binary, docs binary, counts binary"
+SHARD = "ids binary, null_ids binary, lengths binary, groups binary, vocabulary binary, offsets binary, docs binary, counts binary"
+
+
+def _groups(n: int, offsets: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(old numbers in their new order, bounds of the groups) of documents that are put together by the frequent words
+    they share, as those of one language do. Which group a document is in changes no result."""
+    n_groups = min(MOST_GROUPS, n // GROUP_DOCS)
+    df = np.diff(offsets)
+    lists = np.argsort(-df, kind="stable")[:GROUP_WORDS]
+    lists = lists[df[lists] * 50 >= n]
+    if n_groups < 2 or not len(lists):
+        return np.arange(n), np.array([0, n])
+    at, of = _spread(offsets[lists].astype(np.int64), offsets[lists + 1].astype(np.int64))
+    has = np.zeros((n, len(lists)), np.float32)
+    has[docs[at], of] = np.log((n + 1) / df[lists])[of]
+    has /= np.maximum(np.linalg.norm(has, axis=1, keepdims=True), 1e-9)
+    middles = has[np.linspace(0, n - 1, n_groups).astype(np.int64)]
+    for _ in range(8):
+        group = np.argmax(has @ middles.T, axis=1)
+        middles = (group == np.arange(n_groups)[:, None]).astype(np.float32) @ has
+        middles /= np.maximum(np.linalg.norm(middles, axis=1, keepdims=True), 1e-9)
+    sizes = np.bincount(group, minlength=n_groups)
+    return np.argsort(group, kind="stable"), np.concatenate(([0], np.cumsum(sizes[sizes > 0])))
 
 
 def build_shards(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -67,12 +101,20 @@ def build_shards(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         order = np.argsort(term, kind="stable")
         doc, term, count = doc[order], term[order], count[order]
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(term)), bool), term[1:] != term[:-1])))
+        offsets = np.append(first, len(term))
+        placed, groups = _groups(len(ids), offsets, doc)
+        place = np.empty(len(ids), np.int64)
+        place[placed] = np.arange(len(ids))
+        of = np.repeat(np.arange(len(first)), np.diff(offsets))
+        order = np.argsort(of * len(ids) + place[doc], kind="stable")
+        doc, count = place[doc[order]], count[order]
         parts = [
-            ids.fill_null(0).to_numpy().astype("<i8"),
-            ids.is_null().to_numpy(zero_copy_only=False),
-            lengths,
+            ids.fill_null(0).to_numpy()[placed].astype("<i8"),
+            ids.is_null().to_numpy(zero_copy_only=False)[placed],
+            lengths[placed],
+            groups.astype("<i4"),
             term[first].astype("<u8"),
-            np.append(first, len(term)).astype("<i4"),
+            offsets.astype("<i4"),
             doc.astype("<i4"),
             count.astype("<i4"),
         ]
@@ -143,7 +185,10 @@ def _spread(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Shard:
-    """An inverted index in memory, with the bounds of its lists and of their blocks."""
+    """An inverted index in memory, with the bounds of its lists in groups and in blocks of documents.
+
+    A cell is what a list has in a group. Cells of many documents are columns of the group's matrix.
+    """
 
     def __init__(self, row: dict[str, bytes], average: float):
         self.ids = np.frombuffer(row["ids"], "<i8")
@@ -151,99 +196,203 @@ class Shard:
         self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
         self.docs = np.frombuffer(row["docs"], "<i4")
         self.n = len(self.ids)
-        #: Blocks with documents of lists from the pivot on that were passed over, postings that were read, and those of
-        #: the queries' lists.
+        #: Blocks that were passed over, postings that were read, and those of the queries' lists.
         self.skipped_blocks = self.read = self.listed = 0
-        norm = K1 * (1 - B + B * np.frombuffer(row["lengths"], "<i8") / max(average, 1e-9))
-        count = np.frombuffer(row["counts"], "<i4")
-        self.weight = count * (K1 + 1) / (count + norm[self.docs])
-        if len(self.docs):
-            self.offsets = np.frombuffer(row["offsets"], "<i4").astype(np.int64)
-            self.most = np.maximum.reduceat(self.weight, self.offsets[:-1])
-            opens = np.zeros(len(self.docs), bool)
-            opens[self.offsets[:-1]] = True
-            block = self.docs // BLOCK_DOCS
-            opens[1:] |= block[1:] != block[:-1]
-            # an entry is what a list has in a block: its largest weight
-            first = np.flatnonzero(opens)
-            self.block, self.block_most = block[first], np.maximum.reduceat(self.weight, first)
-            self.entries = np.searchsorted(first, self.offsets)
-
-    def _sum(self, lists: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        """Sums of what the lists give to every document."""
-        at, of = _spread(self.offsets[lists], self.offsets[lists + 1])
-        self.read += len(at)
-        return np.bincount(self.docs[at], self.weight[at] * idf[of], self.n)
-
-    def _looked_up(self, lists: np.ndarray, idf: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Sums of what the lists give to some documents."""
-        first, end = self.offsets[lists], self.offsets[lists + 1]
-        if int((end - first).sum()) < 30 * len(lists) * len(docs):
-            return self._sum(lists, idf)[docs]
-        # a binary search for all documents in all lists at once
-        low, high = np.repeat(first, len(docs)), np.repeat(end, len(docs))
-        wanted, last = np.tile(docs, len(lists)), np.repeat(end - 1, len(docs))
-        for _ in range(int((end - first).max()).bit_length()):
-            middle = (low + high) >> 1
-            less = self.docs[np.minimum(middle, last)] < wanted
-            go_on = low < high
-            low, high = np.where(go_on & less, middle + 1, low), np.where(go_on & ~less, middle, high)
-        at = np.minimum(low, last)
-        self.read += len(at)
-        return (np.where((low < np.repeat(end, len(docs))) & (self.docs[at] == wanted), self.weight[at], 0.0) * np.repeat(idf, len(docs))).reshape(len(lists), -1).sum(0)
+        self.norm = K1 * (1 - B + B * np.frombuffer(row["lengths"], "<i8") / max(average, 1e-9))
+        self.counts = np.frombuffer(row["counts"], "<i4")
+        self.groups = np.frombuffer(row["groups"], "<i4").astype(np.int64)
+        self.n_groups = len(self.groups) - 1
+        self.by_doc: tuple[np.ndarray, ...] | None = None
+        if not len(self.docs):
+            return
+        #: Rounded, for bounds and for picking candidates; scores are summed from ``_exact``.
+        self.weight = self._exact(slice(None)).astype(np.float32)
+        self.offsets = np.frombuffer(row["offsets"], "<i4")
+        self.list_of = np.repeat(np.arange(len(self.vocabulary), dtype=np.int32), np.diff(self.offsets))
+        # blocks do not reach across groups; an entry is what a list has in a block: its largest weight
+        starts = [np.arange(a, b, BLOCK_DOCS) for a, b in zip(self.groups[:-1], self.groups[1:])]
+        self.blocks = np.concatenate(([0], np.cumsum([len(x) for x in starts])))
+        self.starts = np.append(np.concatenate(starts), self.n)
+        block = np.repeat(np.arange(len(self.starts) - 1, dtype=np.int32), np.diff(self.starts))[self.docs]
+        opens = np.ones(len(self.docs), bool)
+        opens[1:] = (block[1:] != block[:-1]) | (self.list_of[1:] != self.list_of[:-1])
+        opens = np.flatnonzero(opens)
+        self.block, self.block_most = block[opens], np.maximum.reduceat(self.weight, opens)
+        # the cells that have documents, as entries and as postings
+        list_of, group = self.list_of[opens], np.repeat(np.arange(self.n_groups, dtype=np.int32), np.diff(self.blocks))[self.block]
+        entry = np.ones(len(opens), bool)
+        entry[1:] = (group[1:] != group[:-1]) | (list_of[1:] != list_of[:-1])
+        entry = np.flatnonzero(entry)
+        first, at = opens[entry], group[entry] * np.int64(len(self.vocabulary)) + list_of[entry]
+
+        def by_group(x: np.ndarray, kind: type) -> np.ndarray:
+            out = np.zeros((self.n_groups, len(self.vocabulary)), kind)
+            out.ravel()[at] = x
+            return out
+
+        self.first, self.size = by_group(first, np.int32), by_group(np.diff(np.append(first, len(self.docs))), np.int32)
+        self.entry, self.entry_end = by_group(entry, np.int32), by_group(np.append(entry[1:], len(opens)), np.int32)
+        self.most = by_group(np.maximum.reduceat(self.block_most, entry), np.float32)
+        self.column = np.full(self.size.shape, -1, np.int32)
+        self.matrices, self.matrix_most = [], []
+        for g in range(self.n_groups):
+            n = int(self.groups[g + 1] - self.groups[g])
+            lists = np.flatnonzero(self.size[g] >= max(COLUMN_DOCS, n / COLUMN_ONE_IN))
+            self.column[g, lists] = np.arange(len(lists))
+            first = self.first[g, lists].astype(np.int64)
+            at, of = _spread(first, first + self.size[g, lists])
+            matrix = np.zeros((n, len(lists)), np.float32)
+            matrix[self.docs[at] - self.groups[g], of] = self.weight[at]
+            self.matrices.append(matrix)
+            self.matrix_most.append(np.maximum.reduceat(matrix, self.starts[self.blocks[g] : self.blocks[g + 1]] - self.groups[g], axis=0))
+
+    def _exact(self, at) -> np.ndarray:
+        count = self.counts[at]
+        return count * (K1 + 1) / (count + self.norm[self.docs[at]])
 
     def top(self, terms: np.ndarray, idf: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Documents and scores of all that can be among the k best and score ``least`` or more."""
-        nothing = np.zeros(0, np.int64), np.zeros(0)
-        if not len(self.docs) or not len(terms):
+        order = np.argsort(terms)
+        _, docs, scores = self.tops(np.array([0, len(terms)]), np.arange(len(terms)), terms[order], idf[order], k, np.array([float(least)]))
+        return docs, scores
+
+    def tops(self, offs: np.ndarray, which: np.ndarray, terms: np.ndarray, idf: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, document, score) of what ``top`` gives for each of many queries. ``which`` has the places of the
+        queries' terms among ``terms``, which are in order, ``offs`` the bounds of queries in it."""
+        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if not len(self.docs) or not len(which):
             return nothing
-        at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
-        hit = self.vocabulary[at] == terms
-        lists, idf = at[hit], idf[hit]
-        if not len(lists):
+        at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1).astype(np.int32)
+        at[self.vocabulary[at] != terms] = -1
+        found, few = [nothing], max(1, CELLS // int(np.diff(self.groups).max()))
+        for a in range(0, len(offs) - 1, few):
+            b = min(a + few, len(offs) - 1)
+            asked = which[offs[a] : offs[b]]
+            lists = at[asked]
+            hit = np.flatnonzero(lists >= 0)
+            query, docs, scores = self._batch(np.searchsorted(hit, offs[a : b + 1] - offs[a]), lists[hit], idf[asked[hit]], k, least[a:b])
+            found.append((query + a, docs, scores))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _batch(self, offs: np.ndarray, lists: np.ndarray, idf: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n_queries, lengths = len(offs) - 1, np.diff(offs)
+        query = np.repeat(np.arange(n_queries), lengths)
+        self.listed += int((self.offsets[lists + 1] - self.offsets[lists]).sum())
+        # rounded sums of n weights are off by no more than n roundings
+        margin, slip = 2 * 10.0**-PLACES, (lengths + 8) * 2.0**-23
+        known = least > 0
+        bar = np.maximum(0.0, (least - margin) * (1 - slip) - margin)
+        found = []
+        for g in range(self.n_groups):
+            found.append(self._group(g, query, lists, idf, k, known, bar, slip))
+        query, docs = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(query, kind="stable")
+        query, docs = query[order], docs[order]
+        scores = self._scores(offs, lists, idf, query, docs)
+        enough = scores >= np.maximum(0.0, least - margin)[query]
+        bounds = np.searchsorted(query, np.arange(n_queries + 1))
+        for q in np.flatnonzero(np.diff(bounds) > k).tolist():
+            part = slice(bounds[q], bounds[q + 1])
+            best = np.lexsort((self.ids[docs[part]], self.null[docs[part]], -scores[part]))
+            enough[bounds[q] + best[k:]] = False
+        return query[enough], docs[enough], scores[enough]
+
+    def _group(self, g: int, query: np.ndarray, lists: np.ndarray, idf: np.ndarray, k: int, known: np.ndarray, bar: np.ndarray, slip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, document) of a group's documents that can reach the score to beat; ``bar`` is raised for queries
+        that have none yet."""
+        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        start, n = int(self.groups[g]), int(self.groups[g + 1] - self.groups[g])
+        bound = idf * self.most[g][lists]
+        total = np.bincount(query, bound, len(bar))
+        go = (total > 0) & (total >= bar)
+        n_blocks = int(self.blocks[g + 1] - self.blocks[g])
+        self.skipped_blocks += n_blocks * int(((total > 0) & ~go).sum())
+        asked = np.flatnonzero(go)
+        if not len(asked):
             return nothing
-        margin = 2 * 10.0**-PLACES
-        least = max(0.0, least - margin)
-        bound = idf * self.most[lists]
-        order = np.argsort(bound, kind="stable")
-        lists, idf, bound = lists[order], idf[order], bound[order]
-        upto = np.cumsum(bound)
-        lengths = self.offsets[lists + 1] - self.offsets[lists]
-        self.listed += int(lengths.sum())
-        if upto[-1] < least:
+        take = np.flatnonzero(go[query] & (bound > 0))
+        number = np.cumsum(go) - 1
+        row, lists, idf, bound, bar_here = number[query[take]], lists[take], idf[take], bound[take], bar[asked]
+        column = self.column[g][lists] if len(asked) >= MATRIX_QUERIES else np.full(len(lists), -1)
+        matrix = self.matrices[g]
+        wide = np.flatnonzero(column >= 0)
+        factors = np.zeros((len(asked), matrix.shape[1]), np.float32)
+        factors[row[wide], column[wide]] = idf[wide]
+        # columns come first, then the other lists in order of their bounds: those before the pivot bring too little
+        upto = np.bincount(row[wide], bound[wide], len(asked))
+        rest = factors @ self.matrix_most[g].T
+        narrow = np.flatnonzero(column < 0)
+        early = np.flatnonzero(((2 * upto < bar_here) & known[asked])[row[narrow]])
+        if len(early):
+            entries = narrow[early]
+            entries = entries[np.argsort(row[entries] * (2 * float(bound.max())) + bound[entries])]
+            sums = np.cumsum(bound[entries])
+            opens = np.searchsorted(row[entries], np.arange(len(asked)))
+            before = np.append(0.0, sums)[opens]
+            passed = entries[sums - before[row[entries]] + upto[row[entries]] < bar_here[row[entries]] * (1 - 1e-9)]
+            at, of = _spread(self.entry[g][lists[passed]].astype(np.int64), self.entry_end[g][lists[passed]])
+            rest += np.bincount(row[passed][of] * n_blocks + self.block[at] - self.blocks[g], self.block_most[at] * idf[passed][of], rest.size).reshape(rest.shape)
+            keep = np.ones(len(lists), bool)
+            keep[passed] = False
+            narrow = narrow[keep[narrow]]
+        # by list, as memory has them
+        narrow = narrow[np.argsort(lists[narrow])]
+        size = self.size[g][lists[narrow]]
+        self.read += int(size.sum())
+        ends = np.cumsum(size, dtype=np.int64)
+        at = np.repeat(self.first[g][lists[narrow]] - (ends - size), size)
+        at += np.arange(len(at))
+        where = np.repeat(row[narrow] * n - start, size)
+        where += self.docs[at]
+        given = np.repeat(idf[narrow], size)
+        given *= self.weight[at]
+        sums = np.bincount(where, given, len(asked) * n).reshape(len(asked), n).astype(float, copy=False)
+        del at, where, given
+        starts = self.starts[self.blocks[g] : self.blocks[g + 1]] - start
+        alive = np.maximum.reduceat(sums, starts, axis=1) + rest >= bar_here[:, None]
+        # a block without any posting from the pivot on has nothing to be passed over, but is left out, too
+        n_alive = int(alive.sum())
+        self.skipped_blocks += alive.size - n_alive
+        if not n_alive:
             return nothing
-        if not least:
-            # whole scores of the documents that do best by the lists with the highest bounds
-            few = max(1, int(np.searchsorted(np.cumsum(lengths[::-1]), 8 * k, "right")) + 1)
-            partial = self._sum(lists[-few:], idf[-few:])
-            best = np.argpartition(-partial, min(2 * k, self.n) - 1)[: 2 * k]
-            best = best[partial[best] > 0]
-            if len(best) >= k:
-                scores = partial[best] + (self._looked_up(lists[:-few], idf[:-few], best) if few < len(lists) else 0)
-                least = max(0.0, float(np.partition(scores, len(scores) - k)[len(scores) - k]) - margin)
-        pivot = min(int(np.searchsorted(upto, least)), len(lists) - 1)
-        sums = self._sum(lists[pivot:], idf[pivot:])
-        docs = np.flatnonzero(sums > 0)
-        if pivot:
-            before, idf_before = lists[:pivot], idf[:pivot]
-            docs = docs[sums[docs] + upto[pivot - 1] >= least]
-            if not len(docs):
-                return nothing
-            entry, of = _spread(self.entries[before], self.entries[before + 1])
-            rest = np.bincount(self.block[entry], self.block_most[entry] * idf_before[of], -(-self.n // BLOCK_DOCS))
-            left = docs[sums[docs] + rest[docs // BLOCK_DOCS] >= least]
-            self.skipped_blocks += len(np.unique(docs // BLOCK_DOCS)) - len(np.unique(left // BLOCK_DOCS))
-            docs = left
-            if not len(docs):
-                return nothing
-            scores = sums[docs] + self._looked_up(before, idf_before, docs)
+        unread = rest - factors @ self.matrix_most[g].T if len(early) else None
+        if 2 * n_alive > alive.size:
+            sums += factors @ matrix.T
+            if unread is not None:
+                sums += np.repeat(unread, np.diff(np.append(starts, n)), axis=1)
         else:
-            scores = sums[docs]
-        scores = np.round(scores, PLACES)
-        enough = scores >= least
-        if len(docs) > k:
-            enough &= scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-        return docs[enough], scores[enough]
+            whole, sums = sums, np.full(sums.shape, -1.0)
+            for b in np.flatnonzero(alive.any(axis=0)).tolist():
+                own, part = np.flatnonzero(alive[:, b]), slice(int(starts[b]), min(int(starts[b]) + BLOCK_DOCS, n))
+                sums[own, part] = whole[own, part] + factors[own] @ matrix[part].T + (0.0 if unread is None else unread[own, b][:, None])
+        # the k-th best so far is the score to beat of queries that came without one
+        new = np.flatnonzero(~known[asked])
+        if len(new) and n >= k:
+            kth = np.array([np.partition(sums[q], n - k)[n - k] for q in new])
+            bar[asked[new]] = bar_here[new] = np.maximum(bar_here[new], kth * (1 - 2 * slip[asked[new]]) - 4 * 10.0**-PLACES)
+        own, doc = np.nonzero(sums >= np.maximum(bar_here, 1e-12)[:, None])
+        return asked[own], doc + start
+
+    def _scores(self, offs: np.ndarray, lists: np.ndarray, idf: np.ndarray, query: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Exact scores of documents for queries, which are in order, from all lists."""
+        if not len(docs):
+            return np.zeros(0)
+        if self.by_doc is None:
+            order = np.argsort(self.docs.astype(np.uint16) if self.n <= 1 << 16 else self.docs, kind="stable")
+            first = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.bincount(self.docs, minlength=self.n))))
+            self.by_doc = first, order.astype(np.int32), self.list_of[order], np.zeros(len(self.vocabulary))
+        first, order, lists_by_doc, factor = self.by_doc
+        scores = np.empty(len(docs))
+        bounds = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1], [True])))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            own = slice(offs[query[a]], offs[query[a] + 1])
+            factor[lists[own]] = idf[own]
+            at, of = _spread(first[docs[a:b]], first[docs[a:b] + 1])
+            given = factor[lists_by_doc[at]]
+            has = np.flatnonzero(given)
+            scores[a:b] = np.bincount(of[has], given[has] * self._exact(order[at[has]]), b - a)
+            factor[lists[own]] = 0.0
+        return np.round(scores, PLACES)
 
 
 def _visit(shards: DataFrame, queries: pa.Table, average: float, k: int, name: str) -> DataFrame:
@@ -253,24 +402,19 @@ def _visit(shards: DataFrame, queries: pa.Table, average: float, k: int, name: s
     order = queries["query_id"].to_numpy()
     offs = lists.offsets.to_numpy()
     flat = lists.values
-    terms, idf = flat.field("term").to_numpy().view(np.uint64), flat.field("idf").to_numpy()
-    by = np.concatenate([np.zeros(0, np.int64), *(a + np.argsort(terms[a:b]) for a, b in zip(offs[:-1], offs[1:]))])
-    shared = shards.sparkSession.sparkContext.broadcast((order, offs, terms[by], idf[by], queries["least"].to_numpy()))
+    terms, first, which = np.unique(flat.field("term").to_numpy().view(np.uint64), return_index=True, return_inverse=True)
+    shared = shards.sparkSession.sparkContext.broadcast((order, offs, which.astype(np.int32), terms, flat.field("idf").to_numpy()[first], queries["least"].to_numpy()))
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, offs, terms, idf, least = shared.value
+        query_ids, offs, which, terms, idf, least = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                shard = Shard({c: batch.column(c)[i].as_py() for c in batch.schema.names}, average)
-                tops = [shard.top(terms[a:b], idf[a:b], k, t) for a, b, t in zip(offs[:-1].tolist(), offs[1:].tolist(), least.tolist())]
-                if not tops:
-                    continue
-                best = np.concatenate([t[0] for t in tops])
-                query = np.repeat(query_ids, [len(t[0]) for t in tops])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(query), pa.array(shard.ids[best], mask=shard.null[best]), pa.array(np.concatenate([t[1] for t in tops]))], ["query_id", "doc_id", "score"]
-                )
+                shard = Shard({c: batch.column(c)[i].as_buffer() for c in batch.schema.names}, average)
+                query, best, scores = shard.tops(offs, which, terms, idf, k, least)
+                ids = pa.array(shard.ids[best], mask=shard.null[best])
+                del shard
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[query]), ids, pa.array(scores)], ["query_id", "doc_id", "score"])
 
     found = written(shards.mapInArrow(run, "query_id bigint, doc_id bigint, score double"), name)
     shared.destroy()

@@ -140,6 +140,52 @@ def test_blocks_are_skipped(spark, monkeypatch):
     assert same == found and 5 in same and again.skipped_blocks > 20 and run(texts[5], 10 * kth)[1] == set()
 
 
+def test_many_queries_read_little_and_find_the_same(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bm25, "GROUP_DOCS", 200)
+    rng = random.Random(9)
+    # two languages of frequent words, rare words of both, copies, and texts of one word
+    tongues = [[f"{x}{i}" for i in range(40)] for x in "pq"]
+    texts = [" ".join(rng.choices(tongues[i % 2], k=rng.randint(10, 60)) + [f"r{rng.randint(0, 900)}" for _ in range(5)]) for i in range(1500)]
+    texts[700:716] = [texts[3]] * 16
+    texts[1000:1004] = ["p1", "q1", "r5", "p1 q1"]
+    row = bm25.build_shards(cases.frame(spark, [(i, t, "s") for i, t in enumerate(texts)]).coalesce(1), "doc_id", "text").first().asDict()
+    average = sum(len(t.split()) for t in texts) / len(texts)
+    asked = [*range(0, 1500, 10), 1001, 1002, 1003]
+    per_query = [next(bm25._terms(pa.array([texts[q]])))[2] for q in asked]
+    offs = np.concatenate(([0], np.cumsum([len(t) for t in per_query])))
+    terms, which = np.unique(np.concatenate(per_query), return_inverse=True)
+    vocabulary, lengths = np.frombuffer(row["vocabulary"], "<u8"), np.diff(np.frombuffer(row["offsets"], "<i4"))
+    df = lengths[np.searchsorted(vocabulary, terms)]
+    idf = np.log1p((1500 - df + 0.5) / (df + 0.5))
+    shard = bm25.Shard(row, average)
+    # scores by the formula, from the inverted lists
+    norm = bm25.K1 * (1 - bm25.B + bm25.B * np.frombuffer(row["lengths"], "<i8") / average)
+    counts, lists = np.frombuffer(row["counts"], "<i4"), np.repeat(np.arange(len(lengths)), lengths)
+    docs = np.frombuffer(row["docs"], "<i4")
+    want = []
+    for t in per_query:
+        factor = np.zeros(len(vocabulary))
+        factor[np.searchsorted(vocabulary, t)] = idf[np.searchsorted(terms, t)]
+        all_scores = np.round(np.bincount(docs, factor[lists] * counts * (bm25.K1 + 1) / (counts + norm[docs]), 1500), bm25.PLACES)
+        best = [i for i in np.lexsort((shard.ids, -all_scores))[:10].tolist() if all_scores[i] > 0]
+        want.append([(int(shard.ids[i]), float(all_scores[i])) for i in best])
+
+    def run(least):
+        shard = bm25.Shard(row, average)
+        query, found, scores = shard.tops(offs, which, terms, idf, 10, np.array(least))
+        for q, best in enumerate(want):
+            mine = sorted(zip((-scores[query == q]).tolist(), shard.ids[found[query == q]].tolist()))
+            assert [m[1] for m in mine] == [b[0] for b in best] and all(abs(m[0] + b[1]) < 3e-6 for m, b in zip(mine, best)), q
+        return shard
+
+    assert shard.n_groups > 1 and any(m.shape[1] for m in shard.matrices)
+    run([0.0] * len(asked))
+    again = run([best[-1][1] if len(best) == 10 else 0.0 for best in want])
+    assert 5 * again.read < again.listed and again.skipped_blocks > 100
+
+
 def test_words_of_equal_polynomials_are_two_terms(spark):
     docs = cases.frame(spark, [(1, THUE, "s"), (2, THUE.translate(str.maketrans("ab", "ba")), "s"), (3, "x", "s")])
     assert {(r.query_id, r.doc_id) for r in bm25.search(docs, docs).collect()} == {(1, 1), (2, 2), (3, 3)}
