@@ -4,13 +4,16 @@ Documents are indexed where they are read, a bounded number of postings to a sha
 average length and document frequencies are counted over the whole corpus before any query runs, so scores of
 different shards compare and the merged result is that of one index.
 
-Within a shard a query is run by block-max WAND, its cursors moving for all documents at once. Lists stand in order of
-their bounds, and the pivot is the first list at which the running sum of bounds reaches the score to beat: a document
-without a posting at the pivot or after it cannot reach that score and is never looked at. What the lists from the pivot
-on bring together is held against the bounds of the lists before it, first those of whole lists, then the maxima of the
-document's block. A block in which that is too little is passed over, and the lists before the pivot are read only for
-what is left. The score to beat is the k-th best of the query in some of the shards, which are visited first, or else
-of the documents that do best by the lists with the highest bounds.
+Within a shard queries are run by block-max WAND, their cursors moving for many queries and all documents at once.
+Documents stand in groups that share their frequent words (those of a language, say), and a group whose bounds do not
+add up to the score to beat is passed over for the query. Lists stand in order of their bounds, those with many of the
+group's documents first, and the pivot is the first list at which the running sum of bounds reaches the score to beat: a
+document without a posting at the pivot or after it cannot reach that score. What the lists from the pivot on bring
+together is held against the bounds of the lists before it, the maxima of the document's block. A block in which that is
+too little is passed over. For what is left the frequent lists are added as one product of matrices for all queries, in
+single precision, and documents that can still reach the score to beat, with a margin for the rounding, get their whole
+scores in double precision. The score to beat is the k-th best of the query in some of the shards, which are visited
+first, or else that of the groups before.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.text import chunks, lower, word_hashes, words
-from loomgraph.runtime import lean, workers_can_import, written
+from loomgraph.runtime import keep_freed, lean, workers_can_import, written
 
 #: The usual parameters of BM25.
 K1 = 1.2
@@ -35,6 +38,8 @@ BLOCK_DOCS = 64
 MOST_GROUPS = 8
 GROUP_DOCS = 750
 GROUP_WORDS = 512
+#: Cosine beyond which groups are one.
+ALIKE = 0.5
 #: A list is a column of its group's matrix if it has so many of the group's documents: one in so many, and at least so
 #: many.
 COLUMN_ONE_IN = 24
@@ -85,6 +90,11 @@ def _groups(n: int, offsets: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray,
         group = np.argmax(has @ middles.T, axis=1)
         middles = (group == np.arange(n_groups)[:, None]).astype(np.float32) @ has
         middles /= np.maximum(np.linalg.norm(middles, axis=1, keepdims=True), 1e-9)
+    # groups that are much alike are one
+    same = np.arange(n_groups)
+    for a, b in zip(*np.nonzero(np.triu(middles @ middles.T, 1) > ALIKE)):
+        same[same == same[b]] = same[a]
+    group = same[group]
     sizes = np.bincount(group, minlength=n_groups)
     return np.argsort(group, kind="stable"), np.concatenate(([0], np.cumsum(sizes[sizes > 0])))
 
@@ -187,7 +197,8 @@ def _spread(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Shard:
     """An inverted index in memory, with the bounds of its lists in groups and in blocks of documents.
 
-    A cell is what a list has in a group. Cells of many documents are columns of the group's matrix.
+    Groups are ranges of documents. What a list has of a group is a column of the group's matrix if it is much, else a
+    range of postings.
     """
 
     def __init__(self, row: dict[str, bytes], average: float):
@@ -407,6 +418,7 @@ def _visit(shards: DataFrame, queries: pa.Table, average: float, k: int, name: s
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         query_ids, offs, which, terms, idf, least = shared.value
         for batch in batches:
             for i in range(batch.num_rows):

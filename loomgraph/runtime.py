@@ -52,6 +52,15 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
+def keep_freed(limit: int = 256 << 20) -> None:
+    """Let this process keep up to ``limit`` bytes that it frees, for what it allocates next, as far as the platform has
+    a way to. For loops over large arrays, which the system would otherwise map and clear anew each time."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:
+        mallopt(-1, limit)  # M_TRIM_THRESHOLD
+        mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD, at its largest
+
+
 def give_back() -> None:
     """Return freed memory to the system, as far as the platform has a way to."""
     import pyarrow as pa
