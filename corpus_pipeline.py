@@ -30,9 +30,9 @@ def _staged(stage: Stage) -> Stage:
     those any more."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        runtime.give_back()  # frames of the stage before hold on to their plans until they are collected
         runtime.drop_scratch(spark, _left)
         _left.clear()
+        runtime.driver_gives_back(spark)  # frames of the stage before hold on to their plans until they are collected
         before = len(runtime.scratch_tables())
         out = stage(spark, docs, sf_dir)
         _left.extend(runtime.scratch_tables()[before:])

@@ -72,6 +72,22 @@ def give_back() -> None:
         trim(0)
 
 
+def driver_gives_back(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage, plans and finished shuffles among it, and return what its heap and its
+    native allocator hold free, as far as it has a way to."""
+    give_back()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    try:
+        args = spark.sparkContext._gateway.new_array(jvm.Object, 4)  # the last two are null: no arguments
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # the server's class is not exported, so its method is that of an interface
+        invoke = next(m for m in jvm.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Exception:  # noqa: BLE001  a JVM without that command keeps what it has
+        return
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

@@ -478,6 +478,34 @@ def test_connected_components(spark):
     assert {(r.node, r.component) for r in got.collect()} == want and alone is not None
 
 
+@pytest.mark.parametrize("task_edges,most_jobs", [(500_000, 8), (50, 1_000)])
+def test_connected_components_of_a_long_path(spark, monkeypatch, task_edges, most_jobs):
+    monkeypatch.setattr(components, "TASK_EDGES", task_edges)
+    order = random.Random(2).sample(range(400), 400)
+    edges = spark.createDataFrame(list(zip(order, order[1:])) + [(5, 5), (900, 901)], "a long, b long")
+    spark.sparkContext.setJobGroup("path", "path")
+    try:
+        got = {(r.node, r.component) for r in components.connected_components(edges).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {(i, 0) for i in range(400)} | {(900, 900), (901, 900)}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("path")) <= most_jobs
+
+
+def test_each_stage_starts_with_a_driver_that_gave_back(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    jvm = spark.sparkContext._jvm
+    weak = jvm.java.lang.ref.WeakReference(jvm.Object())
+    times = []
+    monkeypatch.setattr(runtime, "driver_gives_back", lambda s, f=runtime.driver_gives_back: (times.append(1), f(s)))
+    docs = cases.frame(spark, ["a b c d e f", "a b c d e f", "x"]).select("doc_id", "text", "lang", "source", "n_chars")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        stage(spark, docs, str(tmp_path))
+    assert len(times) == 2 and weak.get() is None
+
+
 # --- byte-level BPE
 
 
