@@ -464,6 +464,20 @@ def test_linked_sets_share_a_key():
         assert unequal <= len(a) + len(b) - 2 * both
 
 
+def test_suffixes_of_many_symbols_in_order():
+    rng = np.random.default_rng(3)
+    for size in (5, 1 << 16, (1 << 16) + 1, 1 << 20):
+        symbols = np.append(rng.integers(0, size, 3_000), [size - 1, 0])
+        assert suffixes._stable(symbols, size).tolist() == np.argsort(symbols, kind="stable").tolist()
+    t = np.append(rng.permutation(np.repeat(np.arange(1, 70_000), 2)), 0)
+    order = suffixes.suffix_array(t, 70_000)
+    place = np.empty(len(t), np.int64)
+    place[order] = np.arange(len(t))
+    a, b = order[:-1], order[1:]
+    assert sorted(order.tolist()) == list(range(len(t)))
+    assert ((t[a] < t[b]) | ((t[a] == t[b]) & (place[np.minimum(a + 1, len(t) - 1)] < place[np.minimum(b + 1, len(t) - 1)]))).all()
+
+
 def test_connected_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
